@@ -93,7 +93,7 @@ def rt_commented_csv(spark, sf):
 @R.bind(
     "rt_pages_json",
     """select event_id as record_id, user_id as location_id, event_type as indicator_name,
-              year(ts) as year, value, ts as updated_at
+              cast(year(ts) as int) as year, value, ts as updated_at
        from events where event_type <> 'error'""",
 )
 def rt_pages_json(spark, sf):

@@ -77,9 +77,8 @@ def filled_grid(
     zero = F.lit(0).cast(counts.schema[measure].dataType)
     if values is None:
         grid = _pair_tiles(entities, axis_df)
-        return grid.join(counts.select(key, axis, measure), [key, axis], "left").withColumn(
-            measure, F.coalesce(measure, zero)
-        )
+        met = grid.join(counts.select(key, axis, measure), [key, axis], "left")
+        return met.select(*entities.columns, axis, F.coalesce(measure, zero).alias(measure))
     known = counts.groupBy(key).agg(
         F.collect_list(F.struct(F.col(axis).alias("a"), F.col(measure).alias("m"))).alias("_known")
     )
@@ -118,7 +117,8 @@ def missing_pairs(
     values = bounded_values(dim_b, max_axis)
     pairs = landed.select(key, axis).distinct()
     if values is None:
-        return _pair_tiles(dim_a, dim_b).join(pairs, [key, axis], "left_anti")
+        gaps = _pair_tiles(dim_a, dim_b).join(pairs, [key, axis], "left_anti")
+        return gaps.select(*dim_a.columns, axis)
     seen = pairs.groupBy(key).agg(F.collect_list(axis).alias("_seen"))
     gaps = F.array_except(
         _axis_array(values, dim_b, axis), F.coalesce("_seen", F.array().cast(_array_of(dim_b, axis)))

@@ -78,4 +78,4 @@ def basket_from_catalogue(
     df: DataFrame, source: Column | str, flag: Column | str, source_col="source"
 ) -> DataFrame:
     """Catalogue entries of one source whose flag is set; NULL is not set."""
-    return df.where((F.col(source_col) == source) & flag)
+    return df.where(F.col(source_col) == source).where(flag)

@@ -13,7 +13,7 @@ from plumbline.functions.scalars import (
 )
 from plumbline.operators.aggregates import basket_size, bound_summary, periods, reported_counts
 from plumbline.operators.grid import filled_grid
-from plumbline.operators.joins import tag, with_scalar
+from plumbline.operators.joins import join_on_name, tag, with_scalar
 from plumbline.operators.latest import latest_per_key, latest_wins
 from plumbline.operators.ordered import with_previous
 
@@ -23,6 +23,13 @@ COMPLETENESS_FLOOR = 0.33
 DROP_LIMIT = 0.50
 WEIGHT_ATTRITION, WEIGHT_INCIDENT, WEIGHT_EXTREME = 3, 1, 2
 
+# The wording of the two reasons.
+ATTRITION_REASON = "reporting-volume attrition: %s%% of basket reported in %s (prior year %s%%)"
+IMPOSSIBLE_REASON = (
+    "biological impossibility: %s indicator-year(s) across %s distinct indicator(s), "
+    "max %s%% coverage (most recent: %s)"
+)
+
 
 @dataclass(frozen=True)
 class Names:
@@ -98,7 +105,9 @@ def impossibility_detail(
     Names without a denominator drop out (see ``joins.unmatched_names``).
     """
     bounded = indicators.where(flag)
-    rows = tag(obs, bounded, n.indicator).join(denominators, n.entity_name, "inner")
+    tagged = tag(obs, bounded, n.indicator)
+    added = [c for c in denominators.columns if c == n.entity_name or c not in tagged.columns]
+    rows = join_on_name(tagged, denominators.select(*added), n.entity_name)
     eligible, implied = implied_counts(n.value, upper, fraction)
     impossible, extreme = bound_flags(n.value, upper, fraction)
     return rows.withColumns(
@@ -148,7 +157,7 @@ def trust_scorecard(
         [
             (
                 F.col("attrition_flag"),
-                "reporting-volume attrition: %s%% of basket reported in %s (prior year %s%%)",
+                ATTRITION_REASON,
                 [
                     one_decimal(F.col("completeness_fraction") * 100),
                     F.col("latest_period").cast("string"),
@@ -157,8 +166,7 @@ def trust_scorecard(
             ),
             (
                 F.col("incidents") > 0,
-                "biological impossibility: %s indicator-year(s) across %s distinct indicator(s), "
-                "max %s%% coverage (most recent: %s)",
+                IMPOSSIBLE_REASON,
                 [
                     F.col("incidents").cast("string"),
                     F.col("indicators_affected").cast("string"),
