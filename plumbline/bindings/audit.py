@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.bindings.common import Registry, table
-from plumbline.operators import aggregates, grid, joins, latest
+from plumbline.operators import aggregates, checks, grid, joins, latest
 from plumbline.operators.ordered import slices_for
 from plumbline.plans import audit, report
 from plumbline.plans.audit import Names
@@ -244,6 +244,21 @@ def latest_order(spark, sf):
     return latest.latest_per_key(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
+@R.bind(
+    "staged_population",
+    """select name, o_orderkey, o_totalprice, o_orderdate from (
+           select 'c ' || o_custkey as name, o_orderkey, o_totalprice, o_orderdate from orders)
+       qualify row_number() over (partition by name order by o_orderdate desc, o_orderkey desc) = 1""",
+)
+def staged_population(spark, sf):
+    """Orders as snapshots by name, where urgent ones carry other blanks around the name."""
+    name = F.concat(F.lit("c "), F.col("o_custkey").cast("string"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    padded = F.when(urgent, F.concat(F.lit("  "), name)).otherwise(F.concat(name, F.lit(" ")))
+    snapshots = table(spark, sf, "orders").select(padded.alias("name"), "o_orderkey", "o_totalprice", "o_orderdate")
+    return audit.staged_population(snapshots, "name", "o_orderdate")
+
+
 @R.bind(
     "key_conflicts_by_day",
     BASE
@@ -408,15 +423,11 @@ def bottom_decile(spark, sf):
 
 @R.bind("attrition_findings", BASE + "select user_id, latest_period, completeness_fraction from attr where attrition_flag")
 def attrition_findings(spark, sf):
-    from plumbline.operators import checks
-
     found = checks.rule(_attrition(spark, sf), "attrition_flag", "warn", "reporting_attrition")
     return found.failing.select("user_id", "latest_period", "completeness_fraction")
 
 
 @R.bind("impossibility_findings", BASE + "select event_id, user_id, value from detail where is_impossible")
 def impossibility_findings(spark, sf):
-    from plumbline.operators import checks
-
     found = checks.rule(_detail(spark, sf), "is_impossible", "warn", "impossible_values")
     return found.failing.select("event_id", "user_id", "value")

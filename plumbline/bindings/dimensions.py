@@ -188,10 +188,10 @@ def ranked_customers(spark, sf):
        select *, sum(quantity) over (partition by l_suppkey order by l_shipdate) as running from daily""",
 )
 def running_quantity(spark, sf):
+    """A supplier has at most one row per day, so its group fits a task and needs no slices."""
     lines = table(spark, sf, "lineitem")
     daily = lines.groupBy("l_suppkey", "l_shipdate").agg(F.sum("l_quantity").alias("quantity"))
-    slices = ordered.slices_for(daily, ["l_suppkey"])
-    return ordered.running_total(daily, ["l_suppkey"], [F.col("l_shipdate").asc()], "quantity", "running", slices)
+    return ordered.running_total(daily, ["l_suppkey"], [F.col("l_shipdate").asc()], "quantity", "running")
 
 
 @R.bind(

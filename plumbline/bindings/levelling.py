@@ -18,7 +18,7 @@ SEGMENTS = ["automobile", "building", "household", "machinery"]
 FLAGS = ["a", "n", "r"]
 
 
-def _nation_input(spark: SparkSession, sf: str, by_region: bool = False) -> DataFrame:
+def nation_input(spark: SparkSession, sf: str, by_region: bool = False) -> DataFrame:
     """Customers and orders are counted by nation key before the names are joined on."""
     customer, nation = table(spark, sf, "customer"), table(spark, sf, "nation")
     region = table(spark, sf, "region")
@@ -41,26 +41,18 @@ def _nation_input(spark: SparkSession, sf: str, by_region: bool = False) -> Data
     return reallocation.levelling_input(staff, denominators)
 
 
-def _supplier_input(spark: SparkSession, sf: str) -> DataFrame:
+def supplier_input(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").groupBy(F.lit("all").alias("problem"), F.col("l_suppkey").alias("region"))
     rows = lines.agg(
         F.count("*").alias("grand_total"),
         *[F.count_if(F.col("l_returnflag") == f.upper()).alias(f) for f in FLAGS],
         F.sum("l_quantity").alias("denominator"),
     )
-    keys = ["problem", "region"]
-    return reallocation.levelling_input(rows.drop("denominator"), rows.select(*keys, "denominator"))
-
-
-def _levelled(rows: DataFrame, cadres: list[str]) -> Levelled:
-    from plumbline.session import cut
-
-    rows = cut(rows)
-    return reallocation.level(rows, capacity(rows, ["problem", "region"], cadres))
+    return reallocation.levelling_input(rows)
 
 
 def _nations(spark, sf, by_region=False) -> Levelled:
-    return _levelled(_nation_input(spark, sf, by_region), SEGMENTS)
+    return reallocation.level(nation_input(spark, sf, by_region), SEGMENTS)
 
 
 # --- the same as SQL: unit positions by window sums, met by a range join -------------------
@@ -220,7 +212,7 @@ def _allocations(done: Levelled) -> DataFrame:
          from reg join tot using (problem) order by region""",
 )
 def levelling_input(spark, sf):
-    rows = _nation_input(spark, sf).select(
+    rows = nation_input(spark, sf).select(
         "problem", "region", "grand_total", "denominator", "ratio", "target_ratio", "abs_deviation"
     )
     return _rounded(rows, ratio=9, target_ratio=9, abs_deviation=9).orderBy("region")
@@ -228,7 +220,7 @@ def levelling_input(spark, sf):
 
 @R.bind("movable_capacity", NATIONS + "select problem, region, cadre, n, cap from caps")
 def movable_capacity(spark, sf):
-    return capacity(_nation_input(spark, sf), ["problem", "region"], SEGMENTS)
+    return capacity(nation_input(spark, sf), ["problem", "region"], SEGMENTS)
 
 
 @R.bind(
@@ -238,7 +230,7 @@ def movable_capacity(spark, sf):
                 (select count(*) from reg) - 1 as targets from caps""",
 )
 def arcs(spark, sf):
-    caps = capacity(_supplier_input(spark, sf), ["problem", "region"], FLAGS)
+    caps = capacity(supplier_input(spark, sf), ["problem", "region"], FLAGS)
     return candidate_arcs(caps, "problem", "region")
 
 
@@ -256,7 +248,7 @@ def net_levelling_by_region(spark, sf):
 
 @R.bind("net_levelling_suppliers", SUPPLIERS + "select * from net")
 def net_levelling_suppliers(spark, sf):
-    done = _levelled(_supplier_input(spark, sf), FLAGS)
+    done = reallocation.level(supplier_input(spark, sf), FLAGS)
     return net_change(done.edges, done.regions)
 
 
@@ -267,7 +259,7 @@ def transfer_edges(spark, sf):
 
 @R.bind("transfer_edges_suppliers", SUPPLIERS + "select * from edges")
 def transfer_edges_suppliers(spark, sf):
-    return _levelled(_supplier_input(spark, sf), FLAGS).edges
+    return reallocation.level(supplier_input(spark, sf), FLAGS).edges
 
 
 @R.bind(
@@ -277,7 +269,7 @@ def transfer_edges_suppliers(spark, sf):
          from edges group by all""",
 )
 def flow_totals(spark, sf):
-    edges = _levelled(_supplier_input(spark, sf), FLAGS).edges
+    edges = reallocation.level(supplier_input(spark, sf), FLAGS).edges
     return aggregates.flow_totals(edges, "from_region", ["problem", "cadre"], "headcount", "sent")
 
 
@@ -288,7 +280,7 @@ def allocation_before_after(spark, sf):
 
 @R.bind("allocation_suppliers", SUPPLIERS + _ALLOCATIONS)
 def allocation_suppliers(spark, sf):
-    done = _levelled(_supplier_input(spark, sf), FLAGS)
+    done = reallocation.level(supplier_input(spark, sf), FLAGS)
     return _rounded(_allocations(done), ratio_before=9, ratio_after=9)
 
 
@@ -320,7 +312,7 @@ def run_summary(spark, sf):
          )""",
 )
 def levelling_checks(spark, sf):
-    done = _levelled(_supplier_input(spark, sf), FLAGS)
+    done = reallocation.level(supplier_input(spark, sf), FLAGS)
     rows = reallocation.allocations(done.regions, done.edges)
     todo = [*reallocation.verification(done), checks.improved(rows, "ratio_before", "ratio_after")]
     return checks.report(todo).drop("sample")

@@ -7,8 +7,9 @@ from datetime import UTC, datetime
 from pyspark.sql import functions as F, types as T
 
 from plumbline.bindings.common import Registry, table
-from plumbline.bindings.levelling import FLAGS, SUPPLIERS, _levelled, _supplier_input
+from plumbline.bindings.levelling import FLAGS, SUPPLIERS, supplier_input
 from plumbline.functions.scalars import stamp
+from plumbline.operators.joins import tag
 from plumbline.plans import reallocation
 from plumbline.session import scratch_path
 from plumbline.sources import readers, writers
@@ -63,7 +64,7 @@ def rt_reload(spark, sf):
 )
 def rt_run_latest(spark, sf):
     """Two runs, the first without transfers; only the second is read back."""
-    done = _levelled(_supplier_input(spark, sf), FLAGS)
+    done = reallocation.level(supplier_input(spark, sf), FLAGS)
     rows = reallocation.allocations(done.regions, done.edges)
     summary, root = reallocation.run_summary(rows), scratch_path(spark, "runs")
     writers.write_run(done.edges.where("headcount < 0"), rows, summary, root, FIRST)
@@ -112,7 +113,7 @@ def rt_pages_json(spark, sf):
         F.col("ts").cast("string").alias("updated_at"),
     )
     page = F.floor(F.col("event_id") / 100)
-    keyed = events.join(indicators, events.event_type == indicators.indicator_name)
+    keyed = tag(events.withColumn("indicator_name", F.col("event_type")), indicators, "indicator_name")
     pages = keyed.groupBy(
         "indicator_id", F.col("user_id").cast("int").alias("location_id"), page.alias("_page")
     ).agg(F.collect_list(result).alias("results"))

@@ -38,8 +38,8 @@ def strip(c: Column | str) -> Column:
 
 def parse_year(c: Column | str, lo: int, hi: int) -> Column:
     """Four-digit label -> year inside ``[lo, hi]``; anything else is NULL, to be filtered out."""
-    label = strip(c)
-    year = F.when(label.rlike("^[0-9]{4}$"), label.cast("int"))
+    digits = F.regexp_extract(_col(c), f"^{BLANKS}*([0-9]{{4}}){BLANKS}*$", 1)
+    year = F.nullif(digits, F.lit("")).cast("int")
     return F.when(year.between(lo, hi), year)
 
 

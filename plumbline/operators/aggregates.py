@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.operators.grid import bounded_values, distinct_values
-from plumbline.operators.joins import with_scalar
+from plumbline.operators.joins import tag, with_scalar
 from plumbline.operators.ordered import running_total, slices_for
 from plumbline.session import cut
 
@@ -37,7 +37,7 @@ def reported_counts(
     """
     members = bounded_values(basket.select(indicator), MAX_BITS)
     if members is None:
-        return facts.join(basket, indicator).groupBy(*keys).agg(
+        return tag(facts, basket, indicator).groupBy(*keys).agg(
             F.count_distinct(indicator).alias(out)
         )
     if not members:

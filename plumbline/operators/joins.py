@@ -1,8 +1,9 @@
 """Joins of the audit and levelling plans, and the differences between two sets of members.
 
-No join is forced to broadcast. Spark broadcasts a side whose measured size is below its
-threshold (at planning for files, at run time for computed frames) and otherwise sorts and
-merges, splitting skewed keys.
+Only tag dimensions are ever marked for broadcast, and only after their rows were counted
+against a limit. Everywhere else Spark decides: it broadcasts a side whose measured size is
+below its threshold (at planning for files, at run time for computed frames) and otherwise
+sorts and merges, splitting skewed keys.
 """
 
 from __future__ import annotations
@@ -12,14 +13,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+MAX_BROADCAST_ROWS = 20_000
+
+
+def broadcast_if_short(dim: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``dim`` marked for broadcast if it has at most ``limit`` rows, else as it is.
+
+    A dimension built in the session has no size Spark could plan with. Unmarked, the facts
+    would be shuffled by a key of few values before Spark learns how short the other side is.
+    """
+    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else dim
+
+
 def tag(facts: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Inner join to the tag dimension; facts the dimension does not know drop out."""
-    return facts.join(dim, on, "inner")
+    return facts.join(broadcast_if_short(dim), on, "inner")
 
 
 def untagged(facts: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """The facts ``tag`` drops."""
-    return facts.join(dim.select(on) if isinstance(on, str) else dim.select(*on), on, "left_anti")
+    keys = dim.select(on) if isinstance(on, str) else dim.select(*on)
+    return facts.join(broadcast_if_short(keys), on, "left_anti")
 
 
 def join_on_name(left: DataFrame, right: DataFrame, name: str) -> DataFrame:

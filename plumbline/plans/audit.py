@@ -12,7 +12,7 @@ from plumbline.functions.scalars import (
     relative_drop, safe_fraction, weighted_score,
 )
 from plumbline.operators.aggregates import basket_size, bound_summary, periods, reported_counts
-from plumbline.operators.grid import filled_grid
+from plumbline.operators.grid import bounded_values, filled_grid
 from plumbline.operators.joins import join_on_name, tag, with_scalar
 from plumbline.operators.latest import latest_per_key, latest_wins
 from plumbline.operators.ordered import with_previous
@@ -102,9 +102,14 @@ def impossibility_detail(
 ) -> DataFrame:
     """Staged observations of the bounded indicators against an independent denominator.
 
-    Names without a denominator drop out (see ``joins.unmatched_names``).
+    Names without a denominator drop out (see ``joins.unmatched_names``). A short list of bounded
+    indicators becomes a filter: the indicator is part of the key observations are staged by, so
+    Spark applies it before that shuffle instead of after.
     """
     bounded = indicators.where(flag)
+    members = bounded_values(bounded.select(n.indicator))
+    if members is not None:
+        obs = obs.where(F.col(n.indicator).isin(members))
     tagged = tag(obs, bounded, n.indicator)
     added = [c for c in denominators.columns if c == n.entity_name or c not in tagged.columns]
     rows = join_on_name(tagged, denominators.select(*added), n.entity_name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -10,7 +11,7 @@ from plumbline.functions.scalars import deviation, map_codes, population_proxy,
 from plumbline.operators import checks
 from plumbline.operators.aggregates import target_ratio
 from plumbline.operators.joins import join_trimmed
-from plumbline.operators.levelling import net_change, signed_moves, transfers
+from plumbline.operators.levelling import capacity, net_change, signed_moves, transfers
 from plumbline.operators.ordered import MAX_GROUP_ROWS, slices_for
 from plumbline.session import cut
 
@@ -38,16 +39,21 @@ def population_proxies(
 
 def levelling_input(
     staff: DataFrame,
-    denominators: DataFrame,
+    denominators: DataFrame | None = None,
     problem: str = "problem",
     region: str = "region",
     total: str = "grand_total",
     denominator: str = "denominator",
 ) -> DataFrame:
-    """Regions with both a headcount and a denominator, their ratio, target and deviation."""
+    """Regions with both a headcount and a denominator, their ratio, target and deviation.
+
+    Without ``denominators`` the staff rows carry the denominator themselves. The joined rows are
+    cut: here the plan turns from large facts to one row per region, and the target needs the
+    rows a second time.
+    """
     keys = [problem, region]
-    rows = staff.join(denominators.select(*keys, denominator), keys)
-    rows = rows.withColumn("ratio", ratio(total, denominator))
+    rows = staff if denominators is None else staff.join(denominators.select(*keys, denominator), keys)
+    rows = cut(rows.withColumn("ratio", ratio(total, denominator)))
     targets = target_ratio(rows, total, denominator, [problem])
     signed, absolute = deviation("ratio", "target_ratio")
     return rows.join(targets, problem).withColumns({"deviation": signed, "abs_deviation": absolute})
@@ -64,15 +70,18 @@ class Levelled:
 
 def level(
     regions: DataFrame,
-    caps: DataFrame,
+    cadres: Sequence[str],
     problem: str = "problem",
     region: str = "region",
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> Levelled:
-    """Level each problem. The inputs are cut here, where the plan turns from large facts to
-    one row per region, so that the facts are read once; the size of the largest problem then
-    decides between plain windows and range-sliced ones."""
-    regions, caps = cut(regions), cut(caps)
+    """Level each problem, moving heads of the named cadre columns only.
+
+    The input is read several times and therefore cut; the size of the largest problem decides
+    between plain windows and range-sliced ones.
+    """
+    regions = cut(regions)
+    caps = capacity(regions, [problem, region], cadres)
     slices = slices_for(caps, [problem], max_group_rows)
     return Levelled(regions, caps, cut(transfers(regions, caps, problem, region, slices=slices)))
 

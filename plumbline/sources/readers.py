@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from plumbline.functions.scalars import BLANKS, parse_year, stamp, strip
 from plumbline.operators import checks
+from plumbline.operators.joins import tag
 
 
 def read_commented_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -118,7 +119,7 @@ def load_observation_pages(
         .where("year is not null")
     )
     return (
-        rows.join(indicators.select("indicator_id", "indicator_name"), "indicator_id")
+        tag(rows, indicators.select("indicator_id", "indicator_name"), "indicator_id")
         .join(entities.select("location_id", "location_name"), "location_id")
         .select(
             F.col("id").alias("record_id"), "indicator_id", "indicator_name", "datasource_id",

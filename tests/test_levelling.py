@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import checks
-from plumbline.operators.levelling import candidate_arcs, capacity, net_change
+from plumbline.operators.levelling import candidate_arcs, net_change
 from plumbline.plans import reallocation as plan
 
 KEYS = ["problem", "region"]
@@ -31,7 +31,7 @@ def solve(spark, data, max_group_rows=1_000_000):
     )
     staff, den = rows.drop("denominator"), rows.select(*KEYS, "denominator")
     inp = plan.levelling_input(staff, den)
-    return plan.level(inp, capacity(inp, KEYS, CADRES), max_group_rows=max_group_rows)
+    return plan.level(inp, CADRES, max_group_rows=max_group_rows)
 
 
 def best_deviation(regions):
