@@ -67,10 +67,10 @@ def basket_from_catalogue(spark, sf):
        group by all""",
 )
 def period_from_label(spark, sf):
-    year = F.date_format("o_orderdate", "yyyy")
+    year = F.year("o_orderdate").cast("string")
     label = (
         F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit(" "), year, F.lit(" ")))
-        .when(F.col("o_orderpriority") == "5-LOW", F.date_format("o_orderdate", "yyyyMM"))
+        .when(F.col("o_orderpriority") == "5-LOW", F.concat(year, F.lpad(F.month("o_orderdate").cast("string"), 2, "0")))
         .otherwise(year)
     )
     rows = table(spark, sf, "orders").select("o_totalprice", label.alias("period"))

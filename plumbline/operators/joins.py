@@ -22,7 +22,8 @@ def broadcast_if_short(dim: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataF
     A dimension built in the session has no size Spark could plan with. Unmarked, the facts
     would be shuffled by a key of few values before Spark learns how short the other side is.
     """
-    return F.broadcast(dim) if dim.limit(limit + 1).count() <= limit else dim
+    rows = dim.select(F.lit(1)).limit(limit + 1).collect()
+    return F.broadcast(dim) if len(rows) <= limit else dim
 
 
 def tag(facts: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:

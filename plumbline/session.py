@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 # What the library relies on: UTC clocks, ANSI arithmetic (bad casts raise), and adaptive
 # execution, which sizes partitions, splits skewed joins and picks broadcasts by real size.
+# Stored cuts that nothing refers to any more are removed.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
