@@ -80,7 +80,7 @@ def _attrition(spark, sf):
 
 
 def _detail(spark, sf):
-    staged = audit.staged(observations(spark, sf), N)
+    staged = audit.staged(observations(spark, sf), N, steady=True)  # events are never rewritten
     return audit.impossibility_detail(staged, indicators(spark), denominators(spark, sf), N)
 
 

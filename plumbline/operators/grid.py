@@ -25,8 +25,10 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 
 
 def bounded_values(values: DataFrame, limit: int = MAX_AXIS) -> list | None:
-    """The single column of ``values`` as a sorted list, or None if there are more than ``limit``."""
-    rows = values.limit(limit + 1).collect()
+    """The single column of ``values`` as a sorted list without NULL, or None if there are more than
+    ``limit``."""
+    known = values.where(F.col(values.columns[0]).isNotNull())
+    rows = known.limit(limit + 1).collect()
     return sorted(r[0] for r in rows) if len(rows) <= limit else None
 
 

@@ -45,9 +45,13 @@ class Names:
     fetched: str = "fetched_at"
 
 
-def staged(obs: DataFrame, n: Names = Names()) -> DataFrame:
-    """One observation per (entity, indicator, period): newest snapshot, then newest record."""
-    kept = latest_wins(obs, [n.record], n.fetched, [n.entity, n.indicator, n.period], n.updated)
+def staged(obs: DataFrame, n: Names = Names(), steady: bool = False) -> DataFrame:
+    """One observation per (entity, indicator, period): newest snapshot, then newest record.
+
+    ``steady`` as in ``latest.latest_wins``, e.g. for a log whose records are never rewritten.
+    """
+    key = [n.entity, n.indicator, n.period]
+    kept = latest_wins(obs, [n.record], n.fetched, key, n.updated, steady)
     return kept.withColumn(n.entity_name, F.trim(n.entity_name)) if n.entity_name in obs.columns else kept
 
 

@@ -59,6 +59,28 @@ def levelling_input(
     return rows.join(targets, problem).withColumns({"deviation": signed, "abs_deviation": absolute})
 
 
+def input_checks(
+    rows: DataFrame, problem: str = "problem", region: str = "region", expected_rows: int | None = None
+) -> list[checks.Check]:
+    """What a levelling input must satisfy as a table: one row per region, complete columns and,
+    if given, the expected number of regions, so that a region lost on the way is noticed."""
+    todo = [
+        *checks.primary_key(rows, [problem, region]),
+        checks.not_null(rows, ["grand_total", "denominator", "ratio"]),
+    ]
+    return todo if expected_rows is None else [*todo, checks.row_count(rows, expected_rows)]
+
+
+def _guarded(regions: DataFrame, cadres: Sequence[str], region: str) -> DataFrame:
+    """Raise on a negative count or a denominator that is not positive, as the rows pass by."""
+    ok = (F.col("denominator") > 0) & (F.col("grand_total") >= 0)
+    for cadre in cadres:
+        ok = ok & (F.col(cadre) >= 0)
+    stop = F.raise_error(F.concat(F.lit("not a levelling input: region "), F.col(region).cast("string")))
+    kind = regions.schema["grand_total"].dataType
+    return regions.withColumn("grand_total", F.when(ok, F.col("grand_total")).otherwise(stop.cast(kind)))
+
+
 @dataclass(frozen=True)
 class Levelled:
     """A solved levelling; ``regions`` and ``edges`` are stored, so reading them is cheap."""
@@ -80,7 +102,7 @@ def level(
     The input is read several times and therefore cut; the size of the largest problem decides
     between plain windows and range-sliced ones.
     """
-    regions = cut(regions)
+    regions = cut(_guarded(regions, cadres, region))
     caps = capacity(regions, [problem, region], cadres)
     slices = slices_for(caps, [problem], max_group_rows)
     return Levelled(regions, caps, cut(transfers(regions, caps, problem, region, slices=slices)))

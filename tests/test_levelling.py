@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from plumbline.operators import checks
@@ -77,6 +78,7 @@ def test_published_regions(spark):
         for i, (heads, room, n, density) in enumerate(REGIONS_26)
     ]
     done = solve(spark, data)
+    checks.enforce(plan.input_checks(done.regions, expected_rows=26))
     rows = plan.verify(done.regions, done.caps, done.edges)
     run = plan.run_summary(rows).first()
     assert run.variance_before == pytest.approx(3.510086703597e-07, rel=1e-9)
@@ -106,6 +108,19 @@ def test_slices_change_nothing(spark):
     assert pick(plain) == pick(sliced) and len(pick(plain)) > 20
 
 
+def test_bad_input_is_refused(spark):
+    for bad in [("p", "b", 4, 0.0, 1, 0), ("p", "b", -4, 9.0, 1, 0), ("p", "b", 4, 9.0, -1, 0)]:
+        with pytest.raises(PySparkException):
+            solve(spark, [("p", "a", 10, 100.0, 5, 0), bad])
+    twice = spark.createDataFrame(
+        [("p", "a", 1, 2.0, 0.5)] * 2, "problem string, region string, grand_total int, denominator double, ratio double"
+    )
+    with pytest.raises(checks.CheckFailed, match="unique"):
+        checks.enforce(plan.input_checks(twice))
+    with pytest.raises(checks.CheckFailed, match="row_count"):
+        checks.enforce(plan.input_checks(twice.limit(1), expected_rows=26))
+
+
 def test_nothing_to_move(spark):
     done = solve(spark, [("p", "a", 10, 100.0, 5, 0), ("p", "b", 20, 200.0, 9, 0)])
     assert done.edges.count() == 0

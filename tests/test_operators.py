@@ -28,6 +28,20 @@ def test_latest_wins_takes_newest_snapshot_then_newest_record(spark):
     assert rows(kept.select("record", "value"), "record") == [(2, 12.0), (3, 13.0), (5, None)]
 
 
+def test_steady_records_need_one_step_only(spark):
+    rng = random.Random(2)
+    owner = {r: (rng.choice("abc"), rng.choice([2020, 2021])) for r in range(40)}
+    data, clock = [], {r: 0 for r in owner}
+    for fetched in range(6):
+        for r in rng.sample(sorted(owner), 20):
+            clock[r] += rng.choice([0, 0, 1, 2])
+            data.append((r, *owner[r], rng.random(), clock[r], fetched))
+    df = spark.createDataFrame(data, "record int, key string, year int, value double, updated int, fetched int")
+    args = (df, ["record"], "fetched", ["key", "year"], "updated")
+    both = [rows(latest.latest_wins(*args, steady=s), "key", "year") for s in (False, True)]
+    assert both[0] == both[1] and len(both[0]) == 6
+
+
 def test_latest_puts_null_last(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, 3, "y")], "k int, o int, v string")
     assert rows(latest.latest_per_key(df, ["k"], ["o"])) == [(1, 3, "y")]
