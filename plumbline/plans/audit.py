@@ -139,15 +139,17 @@ def trust_scorecard(
 ) -> DataFrame:
     """Every entity with its evidence, weighted score and reason string (unordered).
 
-    Order for display by ``score`` descending, then name. All inputs hold one row per entity.
+    Order for display by ``score`` descending, then name. All inputs hold one row per entity. The
+    denominators' ``source_label`` is carried along if there is one.
     """
+    carried = [c for c in (estimate, "source_label") if c in denominators.columns]
     none = F.lit(0).cast("bigint")
     flags = attrition_mart.select(
         n.entity, "latest_period", "reported", "basket_size", "completeness_fraction",
         "prior_period", "prior_fraction", "relative_drop", "attrition_flag",
     )
     joined = (
-        entities.join(denominators.select(n.entity_name, estimate), n.entity_name, "left")
+        entities.join(denominators.select(n.entity_name, *carried), n.entity_name, "left")
         .join(flags, n.entity, "left")
         .join(impossibility_mart.drop(n.entity_name), n.entity, "left")
         .withColumns(

@@ -43,8 +43,8 @@ def audit_job(
         [
             *keyed,
             checks.not_null(card, ["score"]),
-            checks.rule(marks, "attrition_flag", "warn", "reporting_volume_attrition"),
-            checks.rule(summary, "impossible_flag", "warn", "biological_impossibility"),
+            checks.rule(marks, "attrition_flag", "warn", "attrition_findings"),
+            checks.rule(summary, "impossible_flag", "warn", "impossibility_findings"),
         ]
     )
     writers.reload_tables({"attrition": marks, "impossibility": summary, "scorecard": card}, root, at)

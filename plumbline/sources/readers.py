@@ -40,10 +40,13 @@ def read_commented_csv(spark: SparkSession, path: str, schema: T.StructType) ->
 
 def _required(field: T.StructField, path: str) -> Column:
     c = F.col(field.name)
-    if field.nullable:
-        return c
-    stop = F.raise_error(F.lit(f"{path}: empty value in column {field.name}"))
-    return F.when(c.isNotNull(), c).otherwise(stop.cast(field.dataType)).alias(field.name)
+    return c if field.nullable else _present(c, field.dataType, field.name, path)
+
+
+def _present(c: Column, kind: T.DataType | str, name: str, where: str = "landed page") -> Column:
+    """The value, or an error naming the column where it is missing."""
+    stop = F.raise_error(F.lit(f"{where}: no value in column {name}")).cast(kind)
+    return F.when(c.isNotNull(), c).otherwise(stop).alias(name)
 
 
 def read_seed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -108,7 +111,7 @@ def load_observation_pages(
 ) -> DataFrame:
     """Observation rows of the pages: one per result whose period is a year in range.
 
-    A value or time that does not parse stops the read.
+    A value or time that is missing or does not parse stops the read.
     """
     lo, hi = year_range
     rows = (
@@ -122,10 +125,10 @@ def load_observation_pages(
         tag(rows, indicators.select("indicator_id", "indicator_name"), "indicator_id")
         .join(entities.select("location_id", "location_name"), "location_id")
         .select(
-            F.col("id").alias("record_id"), "indicator_id", "indicator_name", "datasource_id",
-            "location_id", "location_name", "period", "year",
-            strip("value").cast("double").alias("value"),
-            F.col("updated_at").cast("timestamp").alias("updated_at"), "fetched_at",
+            _present(F.col("id"), "bigint", "record_id"), "indicator_id", "indicator_name",
+            "datasource_id", "location_id", "location_name", "period", "year",
+            _present(strip("value").cast("double"), "double", "value"),
+            _present(F.col("updated_at").cast("timestamp"), "timestamp", "updated_at"), "fetched_at",
         )
     )
 

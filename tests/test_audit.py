@@ -19,11 +19,11 @@ def world(spark):
         "in_impossibility_test boolean, population_fraction double",
     )
     entities = spark.createDataFrame(
-        [(1, "Mai'Adua"), (2, "Daura"), (3, "Silent")], "location_id int, location_name string"
+        [(1, "O'Place"), (2, "Delta"), (3, "Silent")], "location_id int, location_name string"
     )
     population = spark.createDataFrame(
-        [("Mai'Adua", 1000.0, 1200.0, T0), ("Mai'Adua ", 900.0, 1100.0, T0 - timedelta(days=9)),
-         ("Dauraa", 500.0, 600.0, T0)],
+        [("O'Place", 1000.0, 1200.0, T0), ("O'Place ", 900.0, 1100.0, T0 - timedelta(days=9)),
+         ("Deltaa", 500.0, 600.0, T0)],
         "location_name string, population_mean double, population_q975 double, fetched_at timestamp",
     )
     obs = []
@@ -32,15 +32,15 @@ def world(spark):
         obs.append((record, indicator, entity, name, year, value, T0 + timedelta(updated), T0 + timedelta(fetched)))
 
     for record, indicator in enumerate((1, 2, 3, 4)):  # full basket in 2020
-        see(record, 1, " Mai'Adua ", indicator, 2020, 100.0)
-    see(10, 1, "Mai'Adua", 1, 2022, 175.4, updated=1)
-    see(11, 1, "Mai'Adua", 1, 2022, 39754.0, updated=2)  # a rival record, updated later
-    see(11, 1, "Mai'Adua", 1, 2022, 1.0, updated=2, fetched=-1)  # an older fetch of it
-    see(12, 1, "Mai'Adua", 99, 2022, 500.0)  # an indicator the dimension does not know
-    see(20, 2, "Daura", 1, 2020, 300.0)  # impossible, but the name has no denominator
-    see(21, 2, "Daura", 2, 2020, 50.0)
-    see(22, 2, "Daura", 3, 2022, 50.0)
-    see(23, 2, "Daura", 4, 2022, 50.0)
+        see(record, 1, " O'Place ", indicator, 2020, 100.0)
+    see(10, 1, "O'Place", 1, 2022, 175.4, updated=1)
+    see(11, 1, "O'Place", 1, 2022, 39754.0, updated=2)  # a rival record, updated later
+    see(11, 1, "O'Place", 1, 2022, 1.0, updated=2, fetched=-1)  # an older fetch of it
+    see(12, 1, "O'Place", 99, 2022, 500.0)  # an indicator the dimension does not know
+    see(20, 2, "Delta", 1, 2020, 300.0)  # impossible, but the name has no denominator
+    see(21, 2, "Delta", 2, 2020, 50.0)
+    see(22, 2, "Delta", 3, 2022, 50.0)
+    see(23, 2, "Delta", 4, 2022, 50.0)
     frame = spark.createDataFrame(
         obs,
         "record_id int, indicator_id int, location_id int, location_name string, year int, value double, "
@@ -60,9 +60,9 @@ def test_staging(world):
     kept = {(r.location_id, r.indicator_id, r.year): r for r in world["staged"].collect()}
     assert len(kept) == 10
     assert kept[1, 1, 2022].value == 39754.0
-    assert kept[1, 1, 2020].location_name == "Mai'Adua"
+    assert kept[1, 1, 2020].location_name == "O'Place"
     pop = {r.location_name: r.population_mean for r in world["den"].collect()}
-    assert pop == {"Mai'Adua": 1000.0, "Dauraa": 500.0}
+    assert pop == {"O'Place": 1000.0, "Deltaa": 500.0}
 
 
 def test_dense_grid_and_previous_row(world):
@@ -82,7 +82,7 @@ def test_flags(world):
 
 def test_detail_uses_the_upper_bound(world):
     got = {(r.indicator_id, r.year): r for r in world["detail"].collect()}
-    assert set(got) == {(1, 2020), (2, 2020), (1, 2022)}  # Daura's rows have no denominator
+    assert set(got) == {(1, 2020), (2, 2020), (1, 2022)}  # Delta's rows have no denominator
     row = got[1, 2022]
     assert (row.eligible_population, row.implied_headcount) == (60.0, 23852.4)
     assert row.is_impossible and row.is_extreme
@@ -91,7 +91,7 @@ def test_detail_uses_the_upper_bound(world):
 
 def test_scorecard(world):
     ranked = audit.ranked(world["card"]).collect()
-    assert [r.location_name for r in ranked] == ["Mai'Adua", "Silent", "Daura"]
+    assert [r.location_name for r in ranked] == ["O'Place", "Silent", "Delta"]
     assert [r.score for r in ranked] == [3 + 1 + 2, 3, 0]
     assert ranked[0].reasons == (
         "reporting-volume attrition: 25.0% of basket reported in 2022 (prior year 100.0%); "
@@ -105,7 +105,7 @@ def test_scorecard(world):
 
 def test_table(world):
     rows = report.scorecard_table(world["card"]).collect()
-    assert rows[0].name == "Mai&#x27;Adua" and rows[0].bar_pct == 100.0 and rows[0].population == "1,000"
+    assert rows[0].name == "O&#x27;Place" and rows[0].bar_pct == 100.0 and rows[0].population == "1,000"
     assert rows[1].bar_pct == 50.0 and rows[1].population == "" and rows[1].impossibility == "no"
     assert [r["rank"] for r in report.scorecard_table(world["card"], top=2).collect()] == [1, 2]
     sliced = report.scorecard_table(world["card"], slices=2).orderBy("rank").collect()

@@ -42,7 +42,7 @@ def world(spark):
 def test_audit_job(spark, world, steady):
     root = scratch_path(spark, "audit")
     found = jobs.audit_job(*world, root, AT, steady=steady)
-    assert found == [("reporting_volume_attrition", 2), ("biological_impossibility", 1)]
+    assert found == [("attrition_findings", 2), ("impossibility_findings", 1)]
     card = writers.read_table(spark, root, "scorecard").orderBy("location_id").collect()
     assert [r.score for r in card] == [0, 1, 3, 3]
     assert [r.attrition_flag for r in card] == [False, False, True, True]

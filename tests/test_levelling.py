@@ -164,7 +164,7 @@ def test_a_transfer_to_nowhere_breaks_the_zero_sum(spark):
 
 
 def test_proxies_drop_zero_density(spark):
-    counts = spark.createDataFrame([(" A", 3), ("B", 2)], "lga string, n int")
-    densities = spark.createDataFrame([("A ", 0.5), ("B", 0.0)], "lga string, d double")
-    got = plan.population_proxies(counts, densities, "lga", "n", "d").collect()
-    assert [(r.lga, r.population_proxy) for r in got] == [("A", 60000.0)]
+    counts = spark.createDataFrame([(" A", 3), ("B", 2)], "place string, n int")
+    densities = spark.createDataFrame([("A ", 0.5), ("B", 0.0)], "place string, d double")
+    got = plan.population_proxies(counts, densities, "place", "n", "d").collect()
+    assert [(r.place, r.population_proxy) for r in got] == [("A", 60000.0)]

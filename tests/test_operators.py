@@ -171,10 +171,10 @@ def test_joins(spark):
 
 def test_hierarchy_and_catalogue(spark):
     tree = spark.createDataFrame(
-        [(1, "root", None, 1), (2, "state", 1, 2), (3, "lga", 2, 3), (4, "district", 2, 5)],
+        [(1, "root", None, 1), (2, "state", 1, 2), (3, "local", 2, 3), (4, "district", 2, 5)],
         "location_id int, name string, parent_id int, level int",
     )
-    assert rows(joins.children_at_level(tree, 2, 3).select("name")) == [("lga",)]
+    assert rows(joins.children_at_level(tree, 2, 3).select("name")) == [("local",)]
     cat = spark.createDataFrame([(1, "s", True), (2, "s", None), (3, "t", True)], "i int, source string, f boolean")
     assert rows(joins.basket_from_catalogue(cat, "s", "f").select("i")) == [(1,)]
 
