@@ -24,6 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.scalars import floor_cap, unpivot_measures
+from plumbline.operators.joins import broadcast_if_short
 from plumbline.operators.ordered import overlaps, running_total
 
 _GAIN = 1e-9  # fixed value: smallest scaled gain for which a unit still moves
@@ -93,14 +94,14 @@ def transfers(
         F.sum(total).alias("_g"), F.sum(denominator).cast("double").alias("_p")
     )
     room = caps.groupBy(problem).agg(F.sum("cap").alias("_room"))
-    base = (
-        regions.join(sums, problem)
-        .join(room, problem)
-        .select(
-            problem, region, "_room",
-            F.round(F.col(total) - F.col("_g") / F.col("_p") * F.col(denominator), _WORTH_DIGITS).alias("_e"),
-            (F.col("_p") / F.col(denominator)).alias("_w"),
-        )
+    totals = sums.join(room, problem)
+    if slices is not None:
+        # A problem too large for one task must not be shuffled by its own id either.
+        totals = broadcast_if_short(totals)
+    base = regions.join(totals, problem).select(
+        problem, region, "_room",
+        F.round(F.col(total) - F.col("_g") / F.col("_p") * F.col(denominator), _WORTH_DIGITS).alias("_e"),
+        (F.col("_p") / F.col(denominator)).alias("_w"),
     )
 
     stack = Window.partitionBy(problem, region).orderBy("cadre")
