@@ -23,6 +23,11 @@ SECOND = datetime(2025, 1, 2, 12, 0, tzinfo=UTC)
 _ORDERS = "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate from orders"
 
 
+def _utc(name: str):
+    """The instant as a UTC clock reading, whatever the session's time zone."""
+    return F.convert_timezone(None, F.lit("UTC"), F.col(name))
+
+
 def _orders(spark, sf):
     return table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
@@ -70,7 +75,7 @@ def rt_run_latest(spark, sf):
     writers.write_run(done.edges.where("headcount < 0"), rows, summary, root, FIRST)
     writers.write_run(done.edges, rows, summary, root, SECOND)
     _, edges, _ = writers.read_latest_run(spark, root)
-    return edges.withColumn("run_at", F.col("run_at").cast("timestamp_ntz"))
+    return edges.withColumn("run_at", _utc("run_at"))
 
 
 @R.bind(
@@ -148,4 +153,4 @@ def rt_mart_and_provenance(spark, sf):
         ]
     )
     mart = readers.read_mart(spark, path, declared, ["c_custkey"])
-    return mart.withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz"))
+    return mart.withColumn("fetched_at", _utc("fetched_at"))
