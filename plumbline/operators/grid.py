@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_AXIS = 5000
-TILES = 64
+ENTITY_TILES, AXIS_TILES = 512, 8
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
@@ -37,18 +37,22 @@ def _axis_array(values: list, like: DataFrame, axis: str) -> Column:
     return F.array(*[F.lit(v).cast(kind) for v in values]).cast(f"array<{kind.simpleString()}>")
 
 
-def _pair_tiles(entities: DataFrame, axis_df: DataFrame, tiles: int = TILES) -> DataFrame:
+def _pair_tiles(entities: DataFrame, axis_df: DataFrame) -> DataFrame:
     """Pairs for an axis too long to carry in each row.
 
-    The two sides meet in tiles: entities are dealt over ``tiles`` rows of tiles and axis values
-    over ``tiles`` columns, and each side is copied along the other direction. Any one task sees
-    a 1/tiles share of both sides, whatever their size.
+    The two sides meet in tiles: entities are dealt over 512 rows of tiles and axis values over 8
+    columns, and each side is copied along the other direction. Entities, usually the far longer
+    side, are copied 8 times only, and a task sees a fixed share of both sides.
     """
-    row = F.pmod(F.xxhash64(*entities.columns), F.lit(tiles))
-    column = F.pmod(F.xxhash64(*axis_df.columns), F.lit(tiles))
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left = entities.withColumns({"_r": row.cast("int")}).withColumn("_c", every)
-    right = axis_df.withColumns({"_c": column.cast("int")}).withColumn("_r", every)
+
+    def dealt(df: DataFrame, tiles: int):
+        return F.pmod(F.xxhash64(*df.columns), F.lit(tiles)).cast("int")
+
+    def every(tiles: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+
+    left = entities.select("*", dealt(entities, ENTITY_TILES).alias("_r"), every(AXIS_TILES).alias("_c"))
+    right = axis_df.select("*", dealt(axis_df, AXIS_TILES).alias("_c"), every(ENTITY_TILES).alias("_r"))
     return left.join(right, ["_r", "_c"]).drop("_r", "_c")
 
 
