@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.ngram_join import jaccard_components
 from plumbline.llm.substring_dedup import repeated_passages
 from plumbline.llm.tables import table
 
@@ -23,3 +24,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of each document after repeated passages of 35 words or more are removed."""
     found = repeated_passages(table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
