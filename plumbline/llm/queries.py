@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.lm_mixing import scored
 from plumbline.llm.ngram_join import jaccard_components
 from plumbline.llm.substring_dedup import repeated_passages
 from plumbline.llm.tables import table
@@ -19,6 +20,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under the mixing model, beside the unigram base score."""
+    return scored(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of each document after repeated passages of 35 words or more are removed."""
