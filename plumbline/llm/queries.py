@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.lm_mixing import scored
 from plumbline.llm.ngram_join import jaccard_components
+from plumbline.llm.packing import packed
 from plumbline.llm.substring_dedup import repeated_passages
 from plumbline.llm.tables import table
 
@@ -37,3 +38,9 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces, packed into sequences of at most 2048 tokens."""
+    return packed(table(spark, sf_dir, "documents"))
