@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.lm_mixing import scored
+from plumbline.llm import lm_mixing, quality, warc
 from plumbline.llm.ngram_join import jaccard_components
 from plumbline.llm.packing import packed
 from plumbline.llm.substring_dedup import repeated_passages
@@ -24,7 +24,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every text under the mixing model, beside the unigram base score."""
-    return scored(table(spark, sf_dir, "documents"))
+    return lm_mixing.scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as read back from the archives it was written to."""
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query
@@ -40,7 +47,26 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, from the votes of its nearest labelled neighbours."""
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces, packed into sequences of at most 2048 tokens."""
     return packed(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_warc_archives"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN kept > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN kept > page_id THEN kept END AS refers_to
+FROM p LEFT JOIN k USING (payload_digest)
+"""
