@@ -7,8 +7,15 @@ hashed contexts: the 1, 2 and 3 bytes before within the token, and the token's w
 gives the logit of its counts; a gate (place in the token, and what has followed its beginning)
 selects the weights that combine them, and a logistic function turns the sum into a probability.
 
+Before a token is spelled, a match predictor has its say: the three tokens before it are a hashed
+context too, and the token that followed this context most often elsewhere in the training rows is
+expected. One more bit tells whether it came; its predictors are the logit of the counts and the
+number of expectations met in a row, mixed like the others. If it came, nothing is spelled.
+(The expected token is kept as 16 bits of its hash, so one miss in 65,536 passes for a hit.)
+
 Learning, from training rows only:
 * Word counts, exact, by block (see ``blocks``): what is shuffled grows with the corpus's words.
+* Followers of three-token contexts, by block too; a training row's own occurrence is taken out.
 * Count tables, from the distinct words times their counts. Hashing bounds them: the table size is a
   parameter, not a matter of the input, which is why they may be broadcast.
 * First weights: each task descends on its share of the distinct words (each bit predicted from the
@@ -31,20 +38,26 @@ from pyspark.sql import functions as F
 from plumbline.llm import blocks as B
 from plumbline.llm.ship import ship
 from plumbline.llm.store import stored
-from plumbline.llm.words import _BYTE, _LOWER, _powers_up_to, text_bytes, words_of
+from plumbline.llm.words import _BYTE, _LOWER, _powers_up_to, ngram_hashes, text_bytes, words_of
 
 TABLE_BITS = (18, 20, 21, 22)  # 2**bits slots for the contexts of 1, 2, 3 bytes and the whole beginning
 INPUTS = len(TABLE_BITS)
 GATES = 12
 STEP_TOKENS = 16
+CONTEXT = 3
+END_HASH = np.uint64(0x5851F42D4C957F2D)
+MATCH_WEIGHTS = (0.9, 0.35, -0.6)  # to begin with: logit of the counts, hits in a row, bias
+LOW16 = np.uint64(0xFFFF)
 RATE = 0.02
 SHARD_BITS = 16
 PRIOR = 0.15  # added to the counts of zeros and ones
 END = 10
-ASK = "block int, part int, words binary, counts binary"
+ASK = "kind int, block int, part int, words binary, counts binary, followers binary"
 TOLD = "kind int, block int, part int, data binary, more binary, n long, v long"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, known_log10 double, score double, n_bytes long"
-_ASK = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+_ASK = pa.schema(
+    [("kind", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("followers", pa.binary())]
+)
 _TOLD = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("data", pa.binary()), ("more", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 _RESULT = pa.schema(
     [
@@ -152,6 +165,66 @@ def _block_words(table: pa.Table):
     return words, keys, at, inverse
 
 
+def _token_hashes(words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, each text's end included, and where each text begins."""
+    return np.insert(words.hash, words.first[1:], END_HASH), words.first + np.arange(len(words.first))
+
+
+def _contexts(words, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of tokens with a whole context; each one's context with 16 bits of its own hash (zeros where
+    held out, for what follows there is not learned); whether it is learned from."""
+    hashes, first = _token_hashes(words)
+    sizes = np.diff(first)
+    at = np.flatnonzero(np.arange(len(hashes)) - np.repeat(first[:-1], sizes) >= CONTEXT)
+    learned = np.repeat(trains, sizes)[at]
+    key = ngram_hashes(hashes, CONTEXT)[at - CONTEXT] & ~LOW16
+    return at, key | np.where(learned, hashes[at] >> np.uint64(48), np.uint64(0)), learned
+
+
+def _expected(rows: list[tuple]) -> list[bytes]:
+    """Answers to context requests of one key range: follower, its count and the context's, 32 bits an entry."""
+    keys = [np.frombuffer(k, np.uint32).astype(np.uint64) << np.uint64(16) for k, _, _ in rows]
+    counts = [np.frombuffer(c, np.uint8) for _, c, _ in rows]
+    code = np.concatenate([k | np.frombuffer(f, np.uint16) for k, (_, _, f) in zip(keys, rows)])
+    flagged = np.concatenate(counts)
+    count = (flagged & 127).astype(np.int64)
+    pairs, inverse = np.unique(code, return_inverse=True)
+    times = np.bincount(inverse, count, len(pairs)).astype(np.int64)
+    context = pairs >> np.uint64(16)
+    begins = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    group = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]]))
+    total, most = np.add.reduceat(times, begins), np.maximum.reduceat(times, begins)
+    leaders = np.flatnonzero(times == most[group])
+    leader = leaders[np.unique(group[leaders], return_index=True)[1]]
+    answer = ((pairs[leader] & LOW16) << np.uint64(16)) | (np.minimum(most, 255) << 8).astype(np.uint64) | np.minimum(total, 255).astype(np.uint64)
+    answer[total == 0] = 0
+    each = group[inverse]
+    # Where a block's only occurrence is the corpus's only one, there is nothing to expect.
+    found = np.where((total[each] == count) & (count == 1) & (flagged < 128), 0, answer[each]).astype(np.uint32)
+    edges = np.cumsum([0, *map(len, keys)])
+    return [found[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _match_inputs(words, trains: np.ndarray, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all tokens of a block: whether one was expected, whether it came, and the predictors of that."""
+    hashes, first = _token_hashes(words)
+    at, pairs, learned = _contexts(words, trains)
+    told = answers[np.unique(pairs, return_inverse=True)[1]] if len(at) else np.zeros(0, np.uint32)
+    follower, most, total = told >> 16, (told >> 8 & 255).astype(np.int64), (told & 255).astype(np.int64)
+    came = (hashes[at] >> np.uint64(48)).astype(np.uint32) == follower
+    most, total = most - (learned & came), total - learned  # without the row's own occurrence
+    some = most > 0
+    expected, hit, logit = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool), np.zeros(len(hashes), np.float32)
+    expected[at[some]], hit[at[some]] = True, came[some]
+    logit[at[some]] = np.log((most[some] + 0.3) / (np.maximum(total - most, 0)[some] + 0.3))
+    # Hits in a row before each token, within its text.
+    last_miss = np.maximum.accumulate(np.where(hit, -1, np.arange(len(hashes))))
+    run = np.arange(len(hashes)) - 1 - np.concatenate([[-1], last_miss[:-1]])
+    run = np.minimum(run, np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first)))
+    inputs = np.stack([logit, np.minimum(run, 16).astype(np.float32), np.ones(len(hashes), np.float32)], 1)
+    return expected, hit, inputs
+
+
 def _fit_weights(logits: np.ndarray, gate: np.ndarray, bit: np.ndarray, times: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Weights (gate, input) that code ``bit`` well, by descent with a diagonal scale."""
     weights = np.full((GATES, INPUTS), 0.35, np.float32)
@@ -231,7 +304,7 @@ def _learned(told: DataFrame, code: ByteCode) -> tuple[list[np.ndarray], np.ndar
     return shared, weights.reshape(GATES, INPUTS)
 
 
-def _coded_online(words, order: np.ndarray, token: np.ndarray, first: np.ndarray, bit_first: np.ndarray, logits, gate, bit, weights) -> np.ndarray:
+def _coded_online(token: np.ndarray, first: np.ndarray, bit_first: np.ndarray, logits, gate, bit, weights, match) -> np.ndarray:
     """The cost in nats of each text, whose tokens are token[first[i]:first[i + 1]] (places among distinct tokens).
 
     All texts of the block move on together, ``STEP_TOKENS`` tokens at a time; each has weights of its own.
@@ -240,6 +313,8 @@ def _coded_online(words, order: np.ndarray, token: np.ndarray, first: np.ndarray
     cost = np.zeros(len(sizes))
     own = np.tile(weights, (len(sizes), 1, 1)).reshape(-1, INPUTS)
     drift = np.zeros(own.shape, np.float32)
+    expected, hit, inputs = match
+    own_match = np.tile(np.array(MATCH_WEIGHTS, np.float32), (len(sizes), 1))
     by_size = np.argsort(-sizes, kind="stable")
     live, step = len(sizes), 0
     while True:
@@ -253,7 +328,24 @@ def _coded_online(words, order: np.ndarray, token: np.ndarray, first: np.ndarray
             begin = first[some] + step * STEP_TOKENS
             many = np.minimum(first[some + 1] - begin, STEP_TOKENS)
             place = np.cumsum(many) - many
-            tokens = token[np.arange(many.sum()) + np.repeat(begin - place, many)]
+            where = np.arange(many.sum()) + np.repeat(begin - place, many)
+            doc = np.repeat(np.arange(len(some)), many)
+            # The match bit of the tokens that have one.
+            asked = expected[where]
+            x, y, of = inputs[where[asked]], hit[where[asked]].astype(np.float32), doc[asked]
+            z = np.clip(np.einsum("ij,ij->i", own_match[some][of], x), -11, 11)
+            p = 1 / (1 + np.exp(-z))
+            cost[some] += np.bincount(of, -np.log(np.where(y > 0, p, 1 - p)), len(some))
+            moved = np.stack([np.bincount(of, (y - p) * x[:, k] / (1, 16, 1)[k], len(some)) for k in range(3)], 1)
+            own_match[some] += (0.05 * moved).astype(np.float32)
+            # The bits of the tokens that are spelled.
+            spelt_ones = ~hit[where]
+            tokens = token[where[spelt_ones]]
+            if not len(tokens):
+                continue
+            many = np.bincount(doc[spelt_ones], minlength=len(some))
+            some, many = some[many > 0], many[many > 0]
+            place = np.cumsum(many) - many
             n_bits = bit_first[tokens + 1] - bit_first[tokens]
             ends = np.cumsum(n_bits)
             at = np.arange(ends[-1]) + np.repeat(bit_first[tokens] - (ends - n_bits), n_bits)
@@ -298,18 +390,34 @@ def scored(docs: DataFrame, held_out=is_held_out) -> DataFrame:
 
     def ask(table: pa.Table) -> pa.Table:
         words, keys, at, inverse = _block_words(table)
-        counts = np.bincount(inverse, np.repeat(trains(table), words.counts), len(keys)).astype(np.uint32)
+        train, block = trains(table), table["block"][0].as_py()
+        counts = np.bincount(inverse, np.repeat(train, words.counts), len(keys)).astype(np.uint32)
         rows = []
         for part, some in B.by_key_range(keys, parts):
-            rows.append((table["block"][0].as_py(), part, b" ".join(words.word(i) for i in at[some]), counts[some].tobytes()))
+            rows.append((0, block, part, b" ".join(words.word(i) for i in at[some]), counts[some].tobytes(), None))
+        _, pairs, learned = _contexts(words, train)
+        pairs, place = np.unique(pairs, return_inverse=True)
+        times = np.minimum(np.bincount(place, learned, len(pairs)), 127).astype(np.uint8)
+        times |= np.where(np.bincount(place, ~learned, len(pairs)) > 0, 128, 0).astype(np.uint8)
+        shift = np.uint64(parts.bit_length() - 1)
+        for part, some in B.by_key_range(pairs, parts):
+            short = ((pairs[some] << shift) >> np.uint64(32)).astype(np.uint32)
+            rows.append((1, block, part, short.tobytes(), times[some].tobytes(), (pairs[some] & LOW16).astype(np.uint16).tobytes()))
         return B.arrow_rows(rows, _ASK)
 
-    def add_up(table: pa.Table) -> pa.Table:
-        texts, rows = table["words"].to_pylist(), []
+    def add_up(whole: pa.Table) -> pa.Table:
+        part, rows = whole["part"][0].as_py(), []
+        of_contexts = whole.filter(pa.compute.equal(whole["kind"], 1))
+        if len(of_contexts):
+            found = _expected(list(zip(*(of_contexts[c].to_pylist() for c in ("words", "counts", "followers")))))
+            rows += [(3, block, part, data, None, 0, 0) for block, data in zip(of_contexts["block"].to_pylist(), found)]
+        table = whole.filter(pa.compute.equal(whole["kind"], 0))
+        if not len(table):
+            return B.arrow_rows(rows, _TOLD)
+        texts = table["words"].to_pylist()
         blobs = words_of(pa.array(texts, pa.binary()), lower=False)
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["counts"].to_pylist()])
         sums = B.totals(blobs.hash, counts)
-        part = table["part"][0].as_py()
         for block, lo, hi in zip(table["block"].to_pylist(), blobs.first[:-1], blobs.first[1:]):
             rows.append((0, block, part, np.minimum(sums[lo:hi], 2**32 - 1).astype(np.uint32).tobytes(), None, 0, 0))
         one_each = np.unique(blobs.hash, return_index=True)[1]
@@ -336,7 +444,9 @@ def scored(docs: DataFrame, held_out=is_held_out) -> DataFrame:
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         words, keys, at, inverse = _block_words(table)
-        known = B.answer_of(answers.rename_columns(["block", "part", "counts"]), np.uint32).astype(np.float64) if len(keys) else np.zeros(0)
+        told = {k: answers.filter(pa.compute.equal(answers["kind"], k)) for k in (0, 3)}
+        known = B.answer_of(told[0], np.uint32).astype(np.float64) if len(keys) else np.zeros(0)
+        match = _match_inputs(words, trains(table), B.answer_of(told[3], np.uint32))
         known = np.append(known, ends)  # the end is the last distinct token
         tokens = np.insert(inverse, words.first[1:], len(keys))
         first = words.first + np.arange(len(words.first))
@@ -347,7 +457,7 @@ def scored(docs: DataFrame, held_out=is_held_out) -> DataFrame:
             logs = shared.value[k][slots[k]].astype(np.float32)
             logits[:, k] = logs[:, 1] - logs[:, 0]
             seen = logs > -0.1
-        cost = _coded_online(words, at, tokens, first, np.concatenate([[0], np.cumsum(n_bits)]), logits, gates(place, seen[:, 0], seen[:, 1]), bit, weights)
+        cost = _coded_online(tokens, first, np.concatenate([[0], np.cumsum(n_bits)]), logits, gates(place, seen[:, 0], seen[:, 1]), bit, weights, match)
         log_known, some = np.log10(known + 0.1)[tokens], (known > 0)[tokens]
         spelled_bytes = np.fromiter(map(len, spelt), np.int64, len(spelt))[tokens]
         rows = zip(
@@ -356,7 +466,7 @@ def scored(docs: DataFrame, held_out=is_held_out) -> DataFrame:
         )
         return B.arrow_rows([*rows], _RESULT)
 
-    answers = told.where("kind = 0").select("block", "part", "data")
+    answers = told.where("kind in (0, 3)").select("kind", "block", "part", F.col("data").alias("counts"))
     found = B.with_answers(dealt, answers, score, RESULT)
     smooth = float(np.log10(n_train + 0.1 * (v_train + 1)))
     return found.select(
