@@ -93,5 +93,5 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, n
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that contain a benchmark item."""
-    found = contained_items(docs, items).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti")
+    found = contained_items(docs, items).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)

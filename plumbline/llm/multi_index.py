@@ -47,9 +47,9 @@ def _nearest(rows: np.ndarray, book: np.ndarray) -> np.ndarray:
 
 
 def codebook(rows: np.ndarray, k: int) -> np.ndarray:
-    """k-means from evenly spaced rows of a fixed shuffle; centroids without rows stay where they were."""
-    rows = rows[np.random.Generator(np.random.PCG64(6)).permutation(len(rows))]
-    book = rows[:k].copy()
+    """k-means, begun from distinct rows of a fixed shuffle; centroids without rows stay where they were."""
+    distinct = np.unique(rows, axis=0)
+    book = distinct[np.random.Generator(np.random.PCG64(6)).permutation(len(distinct))[:k]].copy()
     for _ in range(ROUNDS):
         at = _nearest(rows, book)
         sums = np.zeros_like(book)
@@ -131,21 +131,22 @@ def built(rows: DataFrame, length: int, sample: int = SAMPLE) -> Index:
     k = min(k, len(data))
     half = max(length // 2, 1)
     index = Index(half, codebook(data[:, :half], k), codebook(data[:, half:], k))
+    k1, k2 = len(index.first), len(index.second)
 
     def measure(batches):
         for batch in batches:
             m = _matrix(batch.column("v"))
             i, j = index.cells(m)
             r1, r2 = ((m[:, :half] - index.first[i]) ** 2).sum(1), ((m[:, half:] - index.second[j]) ** 2).sum(1)
-            cell, inverse = np.unique(i * k + j, return_inverse=True)
+            cell, inverse = np.unique(i * k2 + j, return_inverse=True)
             sums = [np.bincount(inverse, w, len(cell)) for w in (None, r1, r2)]
             yield pa.RecordBatch.from_pydict({"cell": cell.astype(np.int64), "n": sums[0].astype(np.int64), "r1": sums[1].astype(float), "r2": sums[2].astype(float)})
 
     found = rows.mapInArrow(measure, "cell long, n long, r1 double, r2 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("r1").alias("r1"), F.sum("r2").alias("r2")).collect()
-    table = np.zeros((3, k * k))
+    table = np.zeros((3, k1 * k2))
     for r in found:  # at most k * k rows
         table[:, r.cell] = r.n, r.r1, r.r2
-    size, r1, r2 = table.reshape(3, k, k)
+    size, r1, r2 = table.reshape(3, k1, k2)
     index.size = size.astype(np.int64)
     index.spread = r1.sum(1) / np.maximum(size.sum(1), 1), r2.sum(0) / np.maximum(size.sum(0), 1)
     return index

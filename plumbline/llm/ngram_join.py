@@ -279,5 +279,5 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, n: int = N, chun
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of each component the document with the smallest id stays. Ids must be distinct."""
-    stay = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id") == F.col("_id"), "left_semi")
+    stay = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(stay, "doc_id", "left_semi").select(docs.columns)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from pathlib import Path
 
@@ -129,6 +130,7 @@ def recipe(histogram: dict[int, int], size: int = SIZE, grid: int = GRID) -> lis
     out: Counter[tuple[int, ...]] = Counter()
     out[(size,)] += left.pop(size, 0)
     width = -(-size // grid)
+    every = sorted(left)
     cells: dict[int, list[int]] = {}
     for length in sorted(left):
         cells.setdefault(-(-length // width), []).append(length)
@@ -143,15 +145,18 @@ def recipe(histogram: dict[int, int], size: int = SIZE, grid: int = GRID) -> lis
         for j in np.argsort(-repeats):
             want = int(repeats[j])
             while want > 0:
-                # The longest lengths of each cell that still have pieces, as often as all of them last.
+                # The longest lengths of the cells that still have pieces; the last one fills the room best.
                 taken: Counter[int] = Counter()
-                lengths = []
-                for cell in (c for c in kinds[j] if c):
-                    found = next((x for x in reversed(cells[cell]) if left[x] > taken[x]), None)
+                lengths, room = [], size
+                chosen = [c for c in sorted(kinds[j], reverse=True) if c]
+                for i, cell in enumerate(chosen):
+                    among = cells[cell] if i < len(chosen) - 1 else every[: bisect_right(every, room)]
+                    found = next((x for x in reversed(among) if left[x] > taken[x]), None)
                     if found is None:
                         break
                     taken[found] += 1
                     lengths.append(found)
+                    room -= found
                 else:
                     times = min(want, *(left[x] // n for x, n in taken.items()))
                     for x, n in taken.items():

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import blocks as B
+from plumbline.llm.once import unused
 from plumbline.llm.words import Words, ngram_hashes, words_of
 
 WINDOW = 35
@@ -130,10 +131,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     Documents without a repeat stay as they are, byte by byte. All columns are kept; ``n_chars``, if
     there, follows the text. Ids must be distinct.
     """
-    found = repeated_passages(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
-    joined = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
-    text = F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.col("_kept"))
-    out = joined.where("_id is null or _kept <> ''").withColumn("text", text)
+    kept = unused(docs, "kept")
+    found = repeated_passages(docs).where("n_removed > 0").select("doc_id", F.col("kept").alias(kept))
+    joined = docs.join(found, "doc_id", "left").where(F.coalesce(F.col(kept) != "", F.lit(True)))
+    out = joined.withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -144,7 +144,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "size"))):
                 if out is None:
                     name = f"archive-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
-                    out = store.open_output_stream(f"{root}/{name}")
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(member(*row))
                 records += 1
         if out is not None:
@@ -170,7 +170,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, expected in zip(batch.column("archive").to_pylist(), batch.column("records").to_pylist()):
                 rows, held, count = [], 0, 0
-                with store.open_input_stream(f"{root}/{name}") as stream:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for content in members(iter(lambda: stream.read(FEED), b"")):
                         rows.append(parsed(content))
                         count += 1
