@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.once import once
+from plumbline.llm.sampling import hashed_share
 
 LINES = 2000
 COMMON = 0.01
@@ -209,7 +210,9 @@ def licence_paragraphs(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     lines = paragraphs(docs)
-    sample = lines.select("words").where("size(words) between 3 and 200").orderBy(F.xxhash64("words"), "words").limit(LINES).collect()
+    # Lines of a bounded share of the documents, so that tasks have no more to send than is taken.
+    some = paragraphs(hashed_share(docs, "doc_id", LINES))
+    sample = some.select("words").where("size(words) between 3 and 200").orderBy(F.xxhash64("words"), "words").limit(LINES).collect()
     model = trained([r.words for r in sample])
     weights = spark.createDataFrame(list(model.weights.items()), "feature string, weight array<double>")
     notices = spark.createDataFrame([(f, sorted(set(_words(t)))) for f, ts in NOTICES.items() for t in ts], "family string, notice array<string>")

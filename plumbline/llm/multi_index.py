@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.sampling import hashed_share
 from plumbline.llm.ship import ship
 
 SAMPLE = 10_000
@@ -124,7 +125,9 @@ def _matrix(column) -> np.ndarray:
 
 def built(rows: DataFrame, length: int, sample: int = SAMPLE) -> Index:
     """Codebooks from at most ``sample`` rows (those with the smallest hash of their id); sizes and spreads from all."""
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    some = hashed_share(rows, "vec_id", sample).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).toPandas()
+    if some.empty:  # a few rows of one hash class
+        some = rows.orderBy("vec_id", "v").limit(sample).toPandas()
     data = np.stack(some["v"].to_list())
     count = rows.count()
     k = int(np.clip(2 ** np.round(np.log2(2 * max(count, 1) ** 0.25)), 1, 256))

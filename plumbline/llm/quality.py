@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.sampling import hashed_share
 from plumbline.llm.ship import ship
 from plumbline.llm.words import text_bytes, words_of
 
@@ -102,13 +103,13 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, latent: int
     id the highest counts. Without labelled rows every score is 0.5.
     """
     ship(docs.sparkSession)
-    chosen = (
+    eligible = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
         .groupBy("doc_id").agg(F.max("quality").alias("quality"))
         .join(docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
+    chosen = hashed_share(eligible, "doc_id", sample).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     of_sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
 
     def compute(batches):
