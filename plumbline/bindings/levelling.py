@@ -298,12 +298,15 @@ def run_summary(spark, sf):
             union all select cadre, to_region, headcount from edges
          )
          select * from (
-            select 'zero_sum' as "check", 'error' as severity, count(*) as failing_rows from
+            select 'known_ends' as "check", 'error' as severity, count(*) as failing_rows from edges e
+                where (select count(*) from caps c where c.cadre = e.cadre and c.region in (e.from_region, e.to_region)) < 2
+            union all
+            select 'zero_sum', 'error', count(*) from
                 (select cadre from signed group by cadre having sum(d) <> 0)
             union all
             select 'floor_kept', 'error', count(*) from caps left join
                 (select cadre, region, sum(d) as d from signed where d < 0 group by all) using (cadre, region)
-                where n >= 1 and n + coalesce(d, 0) < 1
+                where coalesce(-d, 0) > greatest(n - 1, 0)
             union all
             select 'positive_edges', 'error', count(*) from edges where headcount <= 0
             union all
@@ -318,6 +321,49 @@ def levelling_checks(spark, sf):
     return checks.report(todo).drop("sample")
 
 
+@R.bind(
+    "impossible_edges",
+    SUPPLIERS
+    + """, ends as (select cadre, region, n from caps),
+         planted as (
+            select 'r' as cadre, region as from_region, -5 as to_region, 1 as headcount from reg
+            union all select 'r', -5, -6, 2 from reg where region = (select min(region) from reg)
+            union all select 'x', region, region + 1, 1 from reg where region % 2 = 0
+            union all select 'a', region, (select min(region) from reg), n + 1 from ends where cadre = 'a'
+         )
+         select * from (
+            select 'known_ends' as "check", count(*) as failing_rows from
+                (select distinct * from planted) p
+                where not (p.cadre, p.from_region) in (select (cadre, region) from ends)
+                   or not (p.cadre, p.to_region) in (select (cadre, region) from ends)
+            union all
+            select 'floor_kept', count(*) from ends
+                where (cadre = 'a' and n + 1 > greatest(n - 1, 0)) or (cadre = 'r' and 1 > greatest(n - 1, 0))
+            union all
+            select 'positive_edges', 0
+         )""",
+)
+def impossible_edges(spark, sf):
+    """Edges to and between unknown regions, of an unknown cadre, and of more heads than there are."""
+    regions = supplier_input(spark, sf)
+    caps = capacity(regions, ["problem", "region"], FLAGS)
+    first = regions.agg(F.min("region").alias("least"))
+    each = regions.crossJoin(F.broadcast(first)).select("region", "least")  # one row
+    edge = "'all' as problem", "{} as cadre", "{} as from_region", "{} as to_region", "cast({} as bigint) as headcount"
+
+    def planted(rows, *values):
+        return rows.selectExpr(edge[0], *[e.format(v) for e, v in zip(edge[1:], values, strict=True)])
+
+    edges = (
+        planted(each, "'r'", "region", "cast(-5 as bigint)", "1")
+        .unionAll(planted(each.where("region = least"), "'r'", "cast(-5 as bigint)", "cast(-6 as bigint)", "2"))
+        .unionAll(planted(each.where("region % 2 = 0"), "'x'", "region", "region + 1", "1"))
+        .unionAll(planted(caps.where("cadre = 'a'").crossJoin(F.broadcast(first)), "'a'", "region", "least", "n + 1"))
+    )
+    todo = reallocation.verification(Levelled(regions, caps, edges))
+    return checks.report([c for c in todo if c.name != "zero_sum"]).select("check", "failing_rows")
+
+
 @R.bind(
     "dispersion_improved",
     NATIONS

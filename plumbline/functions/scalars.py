@@ -104,10 +104,12 @@ def safe_fraction(n: Column | str, size: Column | str, places: int = 4) -> Colum
 
 
 def relative_drop(prev: Column | str, cur: Column | str, places: int = 4) -> Column:
-    """(prev - cur) / prev where prev > 0, else NULL. Decimal, so 4-digit inputs divide exactly."""
-    dec = T.DecimalType(14, 4)
-    p, c = _col(prev).cast(dec), _col(cur).cast(dec)
-    return F.when(p > 0, F.round((p - c) / p, places)).cast("double")
+    """(prev - cur) / prev where prev > 0, else NULL, rounded half away from zero.
+
+    Divided in double; the quotient is first rounded to twelve digits, so that quotients of short
+    decimal inputs that lie half-way round as decimals do."""
+    p, c = _col(prev).cast("double"), _col(cur).cast("double")
+    return F.when(p > 0, F.round(F.round((p - c) / p, 12), places))
 
 
 def pct_diff(a: Column | str, b: Column | str) -> Column:

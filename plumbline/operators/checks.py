@@ -41,8 +41,9 @@ def _label(cols: Sequence[str]) -> Column:
 
 
 def unique(df: DataFrame, cols: Sequence[str], severity="error", name=None) -> Check:
-    """Keys that occur more than once."""
-    twice = df.groupBy(*cols).agg(F.count("*").alias("rows")).where("rows > 1")
+    """Keys that occur more than once; a key with a NULL is no key, see ``not_null``."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+    twice = df.where(whole).groupBy(*cols).agg(F.count("*").alias("rows")).where("rows > 1")
     return Check(name or f"unique({','.join(cols)})", severity, twice)
 
 
@@ -61,6 +62,7 @@ def rule(df: DataFrame, bad: Column | str, severity: str, name: str) -> Check:
 
 
 def in_range(df: DataFrame, col: str, lo: float, strict=False, severity="error", name=None) -> Check:
+    """Values below ``lo`` (or at it, if ``strict``). NULL passes; ``not_null`` is the check for it."""
     ok = F.col(col) > lo if strict else F.col(col) >= lo
     return Check(name or f"in_range({col})", severity, df.where(~ok))
 
@@ -149,7 +151,8 @@ def zero_sum(signed: DataFrame, by: Sequence[str], qty: str, severity="error", n
 
 def floor_kept(holdings: DataFrame, edges: DataFrame, keys: Sequence[str], region: str, n: str,
                strict=True, severity="error", name="floor_kept") -> Check:
-    """(region, cadre) pairs that start with at least one and end below one.
+    """(region, cadre) pairs that give more than they may: below one where there was at least one,
+    or below zero where there was none.
 
     ``strict`` judges outflow alone; otherwise inflow may make up for it. ``keys`` are the
     columns beside the region, e.g. the problem and the cadre.
@@ -165,7 +168,18 @@ def floor_kept(holdings: DataFrame, edges: DataFrame, keys: Sequence[str], regio
     moved = moves.groupBy(*keys, region).agg(F.sum("d").alias("_moved"))
     after = F.col(n) + F.coalesce("_moved", F.lit(0))
     rows = holdings.join(moved, [*keys, region], "left").withColumn("after", after).drop("_moved")
-    return Check(name, severity, rows.where((F.col(n) >= 1) & (F.col("after") < 1)))
+    return Check(name, severity, rows.where(((F.col(n) >= 1) & (F.col("after") < 1)) | (F.col("after") < 0)))
+
+
+def known_ends(holdings: DataFrame, edges: DataFrame, keys: Sequence[str], region: str,
+               severity="error", name="known_ends") -> Check:
+    """Edges of which an end is no (region, cadre) of ``holdings``; a NULL end is unknown."""
+    ends = holdings.select(*keys, region).distinct()
+    sides = [
+        edges.join(ends.withColumnRenamed(region, side), [*keys, side], "left_anti").select(*edges.columns)
+        for side in (f"from_{region}", f"to_{region}")
+    ]
+    return Check(name, severity, sides[0].unionAll(sides[1]).distinct())
 
 
 def improved(df: DataFrame, before: str, after: str, severity="error", name="improved") -> Check:

@@ -6,7 +6,9 @@ out; the missing elements are added row by row. The result stays partitioned by
 window or aggregate per entity that follows needs no exchange either.
 
 That needs the axis as a literal list, which is read to the driver only up to ``max_axis``
-values. A longer axis takes the two-sided way of ``_pair_tiles`` instead.
+values. A longer axis takes the two-sided way of ``_pair_tiles`` instead. The limit decides on the
+plan only: both ways return the same rows. In both, the axis is its distinct non-null values, and
+counts off the axis are no part of the grid.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 MAX_AXIS = 5000
-ENTITY_TILES, AXIS_TILES = 512, 8
+TILE_ENTITIES, TILE_VALUES = 10_000, 1_000
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
@@ -28,7 +30,7 @@ def bounded_values(values: DataFrame, limit: int = MAX_AXIS) -> list | None:
     """The single column of ``values`` as a sorted list without NULL, or None if there are more than
     ``limit``."""
     known = values.where(F.col(values.columns[0]).isNotNull())
-    rows = known.limit(limit + 1).collect()
+    rows = known.distinct().limit(limit + 1).collect()
     return sorted(r[0] for r in rows) if len(rows) <= limit else None
 
 
@@ -40,10 +42,11 @@ def _axis_array(values: list, like: DataFrame, axis: str) -> Column:
 def _pair_tiles(entities: DataFrame, axis_df: DataFrame) -> DataFrame:
     """Pairs for an axis too long to carry in each row.
 
-    The two sides meet in tiles: entities are dealt over 512 rows of tiles and axis values over 8
-    columns, and each side is copied along the other direction. Entities, usually the far longer
-    side, are copied 8 times only, and a task sees a fixed share of both sides.
+    The two sides meet in tiles of a bounded number of rows, as many as their row counts need, and
+    each side is copied along the other direction. A task sees a fixed share of both sides.
     """
+    rows = -(-max(entities.count(), 1) // TILE_ENTITIES)
+    cols = -(-max(axis_df.count(), 1) // TILE_VALUES)
 
     def dealt(df: DataFrame, tiles: int):
         return F.pmod(F.xxhash64(*df.columns), F.lit(tiles)).cast("int")
@@ -51,8 +54,8 @@ def _pair_tiles(entities: DataFrame, axis_df: DataFrame) -> DataFrame:
     def every(tiles: int):
         return F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
 
-    left = entities.select("*", dealt(entities, ENTITY_TILES).alias("_r"), every(AXIS_TILES).alias("_c"))
-    right = axis_df.select("*", dealt(axis_df, AXIS_TILES).alias("_c"), every(ENTITY_TILES).alias("_r"))
+    left = entities.select("*", dealt(entities, rows).alias("_r"), every(cols).alias("_c"))
+    right = axis_df.select("*", dealt(axis_df, cols).alias("_c"), every(rows).alias("_r"))
     return left.join(right, ["_r", "_c"]).drop("_r", "_c")
 
 
@@ -65,7 +68,7 @@ def dense_grid(
     axis = axis_df.columns[0]
     values = bounded_values(axis_df, max_axis)
     if values is None:
-        return _pair_tiles(entities, axis_df)
+        return _pair_tiles(entities, distinct_values(axis_df, axis))
     return entities.withColumn(axis, F.explode(_axis_array(values, axis_df, axis)))
 
 
@@ -77,16 +80,17 @@ def filled_grid(
     measure: str,
     max_axis: int = MAX_AXIS,
 ) -> DataFrame:
-    """``dense_grid`` with ``measure`` from ``counts`` (one row per key and axis value), 0 if absent."""
+    """``dense_grid`` with ``measure`` from ``counts`` (one row per key and axis value), 0 if absent or
+    null."""
     axis = axis_df.columns[0]
     values = bounded_values(axis_df, max_axis)
     zero = F.lit(0).cast(counts.schema[measure].dataType)
     if values is None:
-        grid = _pair_tiles(entities, axis_df)
+        grid = _pair_tiles(entities, distinct_values(axis_df, axis))
         met = grid.join(counts.select(key, axis, measure), [key, axis], "left")
         return met.select(*entities.columns, axis, F.coalesce(measure, zero).alias(measure))
-    known = counts.groupBy(key).agg(
-        F.collect_list(F.struct(F.col(axis).alias("a"), F.col(measure).alias("m"))).alias("_known")
+    known = counts.where(F.col(axis).isin(values)).groupBy(key).agg(
+        F.collect_list(F.struct(F.col(axis).alias("a"), F.coalesce(measure, zero).alias("m"))).alias("_known")
     )
     seen = F.coalesce(F.transform("_known", lambda e: e["a"]), F.array().cast(_array_of(axis_df, axis)))
     gaps = F.transform(
@@ -117,15 +121,16 @@ def missing_pairs(
     key: str,
     max_axis: int = MAX_AXIS,
 ) -> DataFrame:
-    """Expected pairs with no landed row. Whole sets are compared per entity, so the full
-    request grid is not built to find a few gaps in it."""
+    """Expected pairs with no landed row. Whole sets are compared per entity, so the full request
+    grid is not built to find a few gaps in it; only an axis over ``max_axis`` values is met in
+    tiles, which does build all pairs."""
     axis = dim_b.columns[0]
     values = bounded_values(dim_b, max_axis)
     pairs = landed.select(key, axis).distinct()
     if values is None:
-        gaps = _pair_tiles(dim_a, dim_b).join(pairs, [key, axis], "left_anti")
+        gaps = _pair_tiles(dim_a, distinct_values(dim_b, axis)).join(pairs, [key, axis], "left_anti")
         return gaps.select(*dim_a.columns, axis)
-    seen = pairs.groupBy(key).agg(F.collect_list(axis).alias("_seen"))
+    seen = pairs.where(F.col(axis).isin(values)).groupBy(key).agg(F.collect_list(axis).alias("_seen"))
     gaps = F.array_except(
         _axis_array(values, dim_b, axis), F.coalesce("_seen", F.array().cast(_array_of(dim_b, axis)))
     )

@@ -1,7 +1,7 @@
 """Joins of the audit and levelling plans, and the differences between two sets of members.
 
-Only tag dimensions are ever marked for broadcast, and only after their rows were counted
-against a limit. Everywhere else Spark decides: it broadcasts a side whose measured size is
+Only tag dimensions and totals are ever marked for broadcast, and only after their rows and bytes
+were counted against a limit. Everywhere else Spark decides: it broadcasts a side whose measured size is
 below its threshold (at planning for files, at run time for computed frames) and otherwise
 sorts and merges, splitting skewed keys.
 """
@@ -14,16 +14,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 MAX_BROADCAST_ROWS = 20_000
+MAX_BROADCAST_BYTES = 16 << 20
 
 
-def broadcast_if_short(dim: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``dim`` marked for broadcast if it has at most ``limit`` rows, else as it is.
+def broadcast_if_short(dim: DataFrame, limit: int = MAX_BROADCAST_ROWS, most: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``dim`` marked for broadcast if it has at most ``limit`` rows of at most ``most`` bytes as text
+    together, else as it is.
 
     A dimension built in the session has no size Spark could plan with. Unmarked, the facts
     would be shuffled by a key of few values before Spark learns how short the other side is.
     """
-    rows = dim.select(F.lit(1)).limit(limit + 1).collect()
-    return F.broadcast(dim) if len(rows) <= limit else dim
+    width = F.octet_length(F.to_json(F.struct(*[F.col(c).cast("string") for c in dim.columns])))
+    rows, size = dim.select(width.alias("w")).limit(limit + 1).agg(F.count("*"), F.sum("w")).first()
+    return F.broadcast(dim) if rows <= limit and (size or 0) <= most else dim
 
 
 def tag(facts: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:

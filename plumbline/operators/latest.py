@@ -19,6 +19,11 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
     prune.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
+    unordered = [c for c in rest if "map<" in df.schema[c].dataType.simpleString() or "variant" in df.schema[c].dataType.simpleString()]
+    if unordered:  # not comparable: they travel beside the row, and do not tell equal rows apart
+        told = [*order, *[c for c in rest if c not in unordered]]
+        best = F.max_by(F.struct(*df.columns), F.struct(*told) if told else F.lit(1)).alias("_row")
+        return df.groupBy(*keys).agg(best).select(*[F.col(f"_row.{c}").alias(c) for c in df.columns])
     ranked = [c for c in order if c not in keys]
     best = F.max(F.struct(*ranked, *rest)).alias("_row")
     return df.groupBy(*keys).agg(best).select(

@@ -46,7 +46,7 @@ def candidate_arcs(caps: DataFrame, problem: str, region: str) -> DataFrame:
     The pairs themselves are not written out; each sending end reaches all other regions.
     """
     regions = caps.select(problem, region).distinct().groupBy(problem).agg(F.count("*").alias("_n"))
-    return caps.join(regions, problem).select(
+    return caps.join(broadcast_if_short(regions), problem).select(
         problem, region, "cadre", F.col("cap").alias("upper_bound"), (F.col("_n") - 1).alias("targets")
     )
 
@@ -94,10 +94,8 @@ def transfers(
         F.sum(total).alias("_g"), F.sum(denominator).cast("double").alias("_p")
     )
     room = caps.groupBy(problem).agg(F.sum("cap").alias("_room"))
-    totals = sums.join(room, problem)
-    if slices is not None:
-        # A problem too large for one task must not be shuffled by its own id either.
-        totals = broadcast_if_short(totals)
+    # Regions must not be shuffled by a problem id that may be one for all.
+    totals = broadcast_if_short(sums.join(room, problem))
     base = regions.join(totals, problem).select(
         problem, region, "_room",
         F.round(F.col(total) - F.col("_g") / F.col("_p") * F.col(denominator), _WORTH_DIGITS).alias("_e"),

@@ -1,7 +1,7 @@
 """Running totals, carried values and row numbers over a global order.
 
 A plain window puts one whole group into one task. That is right while groups are known to be
-small. With ``slices`` set, the same results come from a range-partitioned order instead: each
+small. By default the groups are counted first; where one is too large, or with ``slices`` set, the same results come from a range-partitioned order instead: each
 slice is scanned on its own, and one short row per slice carries the total or value across the
 slice borders. The slices are cut reliably first, so that a lost executor cannot move a border.
 """
@@ -19,12 +19,17 @@ MAX_GROUP_ROWS = 1_000_000
 
 
 def slices_for(df: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> int | None:
-    """None if every group fits one task, else the number of slices to use."""
+    """None if every group fits one task, else the number of slices for all rows, since all of them,
+    not the largest group's alone, are dealt over the slices."""
     sizes = df.groupBy(*keys).count() if keys else df.agg(F.count("*").alias("count"))
-    top = sizes.agg(F.max("count")).first()[0] or 0
-    if top <= max_group_rows:
+    top, total = sizes.agg(F.max("count"), F.sum("count")).first()
+    if (top or 0) <= max_group_rows:
         return None
-    return max(2, -(-top // max_group_rows) * 4)
+    return max(2, -(-total // max_group_rows) * 4)
+
+
+def _slices(df: DataFrame, keys: Sequence[str], slices: int | str | None) -> int | None:
+    return slices_for(df, keys) if slices == "auto" else slices
 
 
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: int) -> DataFrame:
@@ -47,9 +52,12 @@ def running_total(
     order: Sequence[Column],
     qty: str,
     out: str,
-    slices: int | None = None,
+    slices: int | str | None = "auto",
 ) -> DataFrame:
-    """Inclusive running sum of ``qty`` along ``order`` within each group of ``keys``."""
+    """Inclusive running sum of ``qty`` along ``order`` within each group of ``keys``.
+
+    In slices, sums of doubles are added in another order, so their last digits may differ."""
+    slices = _slices(df, keys, slices)
     if slices is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(_START, _HERE)
         return df.withColumn(out, F.sum(qty).over(w))
@@ -70,8 +78,8 @@ def running_total(
     )
 
 
-def numbered(df: DataFrame, order: Sequence[Column], out: str = "rank", slices: int | None = None):
-    """Row number over the global order; use ``slices`` unless the frame is known to be short."""
+def numbered(df: DataFrame, order: Sequence[Column], out: str = "rank", slices: int | str | None = "auto"):
+    """Row number over the global order."""
     ones = df.withColumn("_one", F.lit(1).cast("bigint"))
     return running_total(ones, [], order, "_one", out, slices).drop("_one")
 
@@ -83,7 +91,7 @@ def overlaps(
     lo: str,
     hi: str,
     out: str,
-    slices: int | None = None,
+    slices: int | str | None = "auto",
 ) -> DataFrame:
     """Pieces where a left interval ``[lo, hi)`` meets a right one within the same key.
 
@@ -105,6 +113,7 @@ def overlaps(
         )
     )
     order = [F.col("_at").asc(), F.col("_side").asc()]
+    slices = _slices(starts, keys, slices)
     if slices is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         seen = w.rowsBetween(_START, _HERE)

@@ -18,7 +18,6 @@ from plumbline.operators.latest import latest_per_key, latest_wins
 from plumbline.operators.ordered import with_previous
 
 # Fixed values of the audit's rules.
-YEARS = (2015, 2025)
 COMPLETENESS_FLOOR = 0.33
 DROP_LIMIT = 0.50
 WEIGHT_ATTRITION, WEIGHT_INCIDENT, WEIGHT_EXTREME = 3, 1, 2

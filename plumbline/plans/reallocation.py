@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.functions.scalars import deviation, map_codes, population_proxy, ratio
 from plumbline.operators import checks
 from plumbline.operators.aggregates import target_ratio
-from plumbline.operators.joins import join_trimmed
+from plumbline.operators.joins import broadcast_if_short, join_trimmed
 from plumbline.operators.levelling import capacity, net_change, signed_moves, transfers
 from plumbline.operators.ordered import MAX_GROUP_ROWS, slices_for
 from plumbline.session import cut
@@ -56,7 +56,8 @@ def levelling_input(
     rows = cut(rows.withColumn("ratio", ratio(total, denominator)))
     targets = target_ratio(rows, total, denominator, [problem])
     signed, absolute = deviation("ratio", "target_ratio")
-    return rows.join(targets, problem).withColumns({"deviation": signed, "abs_deviation": absolute})
+    # One row per problem: regions must not be shuffled by a problem id that may be one for all.
+    return rows.join(broadcast_if_short(targets), problem).withColumns({"deviation": signed, "abs_deviation": absolute})
 
 
 def input_checks(
@@ -133,10 +134,12 @@ def allocations(
 def verification(
     done: Levelled, problem: str = "problem", region: str = "region", n: str = "n", strict: bool = True
 ) -> list[checks.Check]:
-    """Independent checks of a levelling, from its edges and the untouched inputs."""
+    """Independent checks of a levelling, from its edges and the untouched inputs: every end is a known
+    region and cadre, what known regions send they receive, and no pair gives more than it may."""
     ends = done.regions.select(problem, region)
     known = signed_moves(done.edges, [problem, "cadre"], region).join(ends, [problem, region])
     return [
+        checks.known_ends(done.caps, done.edges, [problem, "cadre"], region),
         checks.zero_sum(known, [problem, "cadre"], "delta"),
         checks.floor_kept(done.caps, done.edges, [problem, "cadre"], region, n, strict),
         checks.rule(done.edges, "headcount <= 0", "error", "positive_edges"),
@@ -144,11 +147,14 @@ def verification(
 
 
 def run_summary(rows: DataFrame, problem: str = "problem", status: int = 0) -> DataFrame:
-    """Variances and total deviation before and after, and the outcome label, per problem."""
+    """Variances and total deviation before and after, and the outcome label, per problem.
+
+    Labels are the fixed ones of the published runs; the exact method ends with code 0, whose label
+    speaks of a gap although there is none."""
     target = target_ratio(rows, "grand_total_before", "denominator", [problem])
     gap = lambda c: F.sum(F.abs(F.col(c) - F.col("target_ratio")))
     return (
-        rows.join(target, problem)
+        rows.join(broadcast_if_short(target), problem)
         .groupBy(problem)
         .agg(
             F.var_pop("ratio_before").alias("variance_before"),

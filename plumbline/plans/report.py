@@ -14,11 +14,11 @@ from plumbline.plans.reallocation import SUCCESS_LABELS
 
 def scorecard_table(
     scorecard: DataFrame, name: str = "location_name", estimate: str = "population_mean",
-    slices: int | None = None, top: int | None = None,
+    slices: int | str | None = "auto", top: int | None = None,
 ) -> DataFrame:
     """Numbered scorecard rows with bar widths relative to the highest score.
 
-    ``top`` keeps the worst rows only, before numbering; without it pass ``slices`` for a long list.
+    ``top`` keeps the worst rows only, before numbering.
     """
     order = [F.col("score").desc_nulls_last(), F.col(name).asc()]
     highest = scorecard.agg(F.coalesce(F.max("score"), F.lit(0))).scalar()

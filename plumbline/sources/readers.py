@@ -14,28 +14,46 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from plumbline.functions.scalars import BLANKS, parse_year, stamp, strip
 from plumbline.operators import checks
 from plumbline.operators.joins import tag
+from plumbline.sources import writers
 
 
 def read_commented_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV whose comment lines start, after any blanks, with ``#``, anywhere in the file.
 
-    The header must name exactly the schema's columns, in any order; it is the one line read by
-    the driver. A malformed row, or an empty field of a non-nullable column, stops the read.
+    Each file has a header of its own, which must name exactly the schema's columns, in any order;
+    the distinct header lines are all that the driver reads. Lines of blanks are skipped. A malformed
+    row stops the read with its file and text, an empty field of a non-nullable column with its name.
     """
-    lines = spark.read.text(path).where(
-        ~F.col("value").rlike(f"^{BLANKS}*#") & (F.col("value") != "")
+    text = spark.read.text(path).select(
+        F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
-    first = lines.first()
-    if first is None:
+    lines = text.where(~F.col("value").rlike(f"^{BLANKS}*(#|$)"))
+    # The first line of each file that is no comment, taken from the file's first block.
+    placed = lines.where("block = 0").select("file", "value", F.monotonically_increasing_id().alias("at"))
+    headers = placed.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    kinds = [r[0] for r in headers.select("header").distinct().collect()]
+    if not kinds:
         raise checks.CheckFailed(f"{path}: no header line")
-    header = next(csv.reader([first[0]]))
-    if sorted(header) != sorted(schema.names):
-        missing, extra = set(schema.names) - set(header), set(header) - set(schema.names)
-        raise checks.CheckFailed(f"{path}: missing columns {sorted(missing)}, extra {sorted(extra)}")
-    in_file_order = T.StructType([T.StructField(c, schema[c].dataType) for c in header])
-    row = F.from_csv("value", in_file_order.toDDL(), {"mode": "FAILFAST", "escape": '"'})
-    rows = lines.where(F.col("value") != first[0]).select(row.alias("r")).select("r.*")
-    return rows.select(*[_required(f, path) for f in schema])
+    bad, row = "_bad", F.lit(None)
+    by_name = T.StructType([T.StructField(c, schema[c].dataType) for c in schema.names])
+    for kind in kinds:
+        header = next(csv.reader([kind]))
+        if sorted(header) != sorted(schema.names):
+            missing, extra = set(schema.names) - set(header), set(header) - set(schema.names)
+            where = headers.where(F.col("header") == kind).agg(F.min("file")).first()[0]
+            raise checks.CheckFailed(f"{where}: missing columns {sorted(missing)}, extra {sorted(extra)}")
+        in_file_order = T.StructType([T.StructField(c, schema[c].dataType) for c in header]).add(bad, T.StringType())
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad, "escape": '"'}
+        parsed = F.from_csv("value", in_file_order.toDDL(), options)
+        named = F.struct(*[parsed[c].alias(c) for c in schema.names], parsed[bad].alias(bad))
+        row = F.when(F.col("header") == kind, named).otherwise(row)
+    # One header for all files, as usual, needs no join.
+    told = lines.withColumn("header", F.lit(kinds[0])) if len(kinds) == 1 else lines.join(headers, "file")
+    rows = told.where(F.col("value") != F.col("header")).select("file", "value", row.alias("r"))
+    kind = by_name.simpleString()
+    stop = F.raise_error(F.concat("file", F.lit(": malformed row: "), "value")).cast(f"{kind[:-1]},{bad}:string>")
+    rows = rows.select("file", F.when(F.col("r")[bad].isNull(), F.col("r")).otherwise(stop).alias("r"))
+    return rows.select("file", "r.*").select(*[_required(f, path) for f in schema])
 
 
 def _required(field: T.StructField, path: str) -> Column:
@@ -148,8 +166,10 @@ def read_mart(
     rules: Sequence[checks.Check] = (),
 ) -> DataFrame:
     """A stored table, checked again by its reader: exact columns, no NULL where none is allowed,
-    the expected row count and any further rules; then ordered."""
-    df = spark.read.parquet(path)
+    the expected row count and any further rules; then ordered. Published tables (see ``publish``) are
+    read in their current version, other folders as they are."""
+    published = writers.current_version(spark, path, writers.MART)
+    df = writers.read_table(spark, path, writers.MART) if published else spark.read.parquet(path)
     checks.exact_schema(df, schema)
     required = [f.name for f in schema if not f.nullable]
     todo = [checks.not_null(df, required)] if required else []
