@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.bindings.common import Registry, table
 from plumbline.operators import aggregates, checks
+from plumbline.operators.joins import with_scalar
 from plumbline.operators.levelling import candidate_arcs, capacity, net_change
 from plumbline.plans import reallocation, report
 from plumbline.plans.reallocation import Levelled
+from plumbline.session import cut
 
 R = Registry()
 
@@ -348,7 +350,7 @@ def impossible_edges(spark, sf):
     regions = supplier_input(spark, sf)
     caps = capacity(regions, ["problem", "region"], FLAGS)
     first = regions.agg(F.min("region").alias("least"))
-    each = regions.crossJoin(F.broadcast(first)).select("region", "least")  # one row
+    each = with_scalar(regions.select("region"), first)
     edge = "'all' as problem", "{} as cadre", "{} as from_region", "{} as to_region", "cast({} as bigint) as headcount"
 
     def planted(rows, *values):
@@ -358,9 +360,9 @@ def impossible_edges(spark, sf):
         planted(each, "'r'", "region", "cast(-5 as bigint)", "1")
         .unionAll(planted(each.where("region = least"), "'r'", "cast(-5 as bigint)", "cast(-6 as bigint)", "2"))
         .unionAll(planted(each.where("region % 2 = 0"), "'x'", "region", "region + 1", "1"))
-        .unionAll(planted(caps.where("cadre = 'a'").crossJoin(F.broadcast(first)), "'a'", "region", "least", "n + 1"))
+        .unionAll(planted(with_scalar(caps.where("cadre = 'a'"), first), "'a'", "region", "least", "n + 1"))
     )
-    todo = reallocation.verification(Levelled(regions, caps, edges))
+    todo = reallocation.verification(Levelled(regions, caps, cut(edges)))
     return checks.report([c for c in todo if c.name != "zero_sum"]).select("check", "failing_rows")
 
 
