@@ -11,8 +11,10 @@
 4. A cluster's sets meet in a prefix tree, most frequent shingles first, so that near copies share
    long paths. A set walks the tree once: the overlap with a path is shared by all sets below it, and
    a subtree is left when even the shingles that remain on both sides cannot reach the threshold, or
-   when all its sets are already in the walker's component. A cluster over a size limit is dealt into
-   chunks, and each pair of chunks meets in its own task, so no group has to fit into one task.
+   when all its sets are already in the walker's component. In a cluster over a size limit each set
+   is compared with one leader first; the families so linked and the rest are dealt into chunks, and
+   pairs of chunks, but those of one family, meet in a task each: no group has to fit into one task,
+   and a very large family of near copies costs linear time.
 5. Links found become components. All counting is exact integer arithmetic on 64-bit shingle hashes.
 """
 
@@ -173,9 +175,15 @@ class Joined:
         self.parent[max(i, j)] = min(i, j)
 
 
-def tree_join(sets: list[np.ndarray], stored_ones: list[int], probes: list[int], percent: int) -> Joined:
-    """Components that links between ``probes`` and ``stored_ones`` (indexes into ``sets``) make."""
+def tree_join(sets: list[np.ndarray], stored_ones: list[int], probes: list[int], percent: int, families: list | None = None) -> Joined:
+    """Components that links between ``probes`` and ``stored_ones`` (indexes into ``sets``) make.
+
+    Sets of one of the ``families`` (None: of none) are known to be connected."""
     found = Joined(len(sets))
+    first_of: dict = {}
+    for i, family in enumerate(families or ()):
+        if family is not None:
+            found.join(i, first_of.setdefault(family, i))
     # Local global order: most frequent first, then by hash.
     every, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(every), np.int64)
@@ -218,33 +226,74 @@ def tree_join(sets: list[np.ndarray], stored_ones: list[int], probes: list[int],
     return found
 
 
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def led_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of sets with one leader each: of the sets that are first on one of its prefix shingles, the
+    one that is so most often. One comparison a set, so a family of near copies is joined in linear time."""
+    tokens = sets.select("set_id", F.explode("prefix").alias("token"))
+    first = tokens.groupBy("token").agg(F.min("set_id").alias("leader"))
+    votes = tokens.join(first, "token").groupBy("set_id", "leader").agg(F.count("*").alias("n"))
+    best = votes.where("set_id <> leader").groupBy("set_id").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
+    leaders = sets.select(F.col("set_id").alias("leader"), F.col("shingles").alias("led_by"))
+    pairs = best.join(sets.select("set_id", "shingles"), "set_id").join(leaders, "leader")
+
+    def compare(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("leader", "set_id", "led_by", "shingles")))
+            found = [(a, b) for a, b, x, y in rows if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found) if found else ([], []))], schema=_LINKS)
+
+    return pairs.select("leader", "set_id", "led_by", "shingles").mapInArrow(compare, "a long, b long")
+
+
 def links_in_clusters(ordered: DataFrame, clusters: DataFrame, percent: int = PERCENT, chunk: int = CHUNK_SHINGLES) -> DataFrame:
     """Links (a, b) between set ids that connect each component within a cluster.
 
-    ``clusters``: (node, component) of sets. A cluster over ``chunk`` shingles is dealt into chunks,
-    and each pair of chunks is joined on its own.
+    ``clusters``: (node, component) of sets. A cluster of up to ``chunk`` shingles is joined in one
+    task. In a larger one each set is first compared with a leader; sets so linked form families, the
+    others a rest. Families and the rest are dealt into chunks, and each pair of chunks is joined in
+    its own task, but for chunks of one family, which need no more links. A family of very many near
+    copies thus meets the rest of its cluster, never itself.
     """
-    sets = ordered.join(clusters.withColumnRenamed("node", "set_id"), "set_id").select("component", "set_id", "n_shingles", "shingles")
-    sizes = sets.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(chunk)).cast("int").alias("chunks"))
-    dealt = sets.join(sizes, "component").withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int"))
-    # Chunk c takes part in the pairs (c, 0..c) as the probing side and (c.., c) as the stored side.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("low"), F.greatest("chunk", o).alias("high")))
-    dealt = dealt.withColumn("pair", F.explode(pairs)).select("component", "pair.low", "pair.high", "chunk", "set_id", "shingles")
+    sets = ordered.join(clusters.withColumnRenamed("node", "set_id"), "set_id")
+    sizes = sets.groupBy("component").agg(F.sum("n_shingles").alias("all_shingles"))
+    sets = stored(sets.join(sizes, "component"), "clustered")
+    small = sets.where(F.col("all_shingles") <= chunk).select("component", F.lit("").alias("pair"), F.lit(0).alias("side"), "set_id", F.lit(None).cast("long").alias("family"), "shingles")
+    large = sets.where(F.col("all_shingles") > chunk)
+    led = stored(led_links(large, percent), "led")
+    families = components(led).withColumnRenamed("node", "set_id").withColumnRenamed("component", "family")
+    rest = large.join(families, "set_id", "left")
+    per_family = rest.groupBy("component", "family").agg(F.ceil(F.sum("n_shingles") / F.lit(chunk)).cast("int").alias("chunks"))
+    same = F.col("family").eqNullSafe(F.col("of_family"))
+    dealt = rest.join(per_family.select("component", F.col("family").alias("of_family"), "chunks"), (rest["component"] == per_family["component"]) & same).drop(per_family["component"])
+    dealt = stored(dealt.withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int")).select("component", "family", "chunk", "set_id", "shingles"), "dealt")
+    name = F.concat_ws("/", F.coalesce(F.col("family").cast("string"), F.lit("rest")), F.col("chunk").cast("string"))
+    chunks = dealt.select("component", "family", name.alias("name")).distinct()
+    left, right = chunks.alias("l"), chunks.alias("r")
+    wanted = (F.col("l.component") == F.col("r.component")) & (F.col("l.name") <= F.col("r.name"))
+    other = ~(F.col("l.family").isNotNull() & F.col("l.family").eqNullSafe(F.col("r.family")))
+    met = left.join(right, wanted & other).select(F.col("l.component").alias("component"), F.col("l.name").alias("low"), F.col("r.name").alias("high"))
+    sides = F.expr("case when low = high then array(named_struct('name', low, 'side', 0)) else array(named_struct('name', low, 'side', 1), named_struct('name', high, 'side', 2)) end")
+    pairs = met.select("component", F.concat_ws("|", "low", "high").alias("pair"), F.inline(sides))
+    in_pairs = dealt.withColumn("name", name).join(pairs, ["component", "name"]).select("component", "pair", "side", "set_id", "family", "shingles")
 
     def join(table: pa.Table) -> pa.Table:
         names = table["set_id"].to_pylist()
         sets = [np.sort(np.frombuffer(x, np.uint64)) for x in table["shingles"].to_pylist()]
-        low, chunks = table["low"][0].as_py(), table["chunk"].to_pylist()
-        high = table["high"][0].as_py()
-        stored_ones = [i for i, c in enumerate(chunks) if c == low]
-        probes = [i for i, c in enumerate(chunks) if c == high]
+        sides = table["side"].to_pylist()
+        stored_ones = [i for i, s in enumerate(sides) if s < 2]
+        probes = [i for i, s in enumerate(sides) if s != 1]
         if not stored_ones or not probes:
             return B.arrow_rows([], _LINKS)
-        found = tree_join(sets, stored_ones, probes, percent)
+        found = tree_join(sets, stored_ones, probes, percent, table["family"].to_pylist())
         rows = [(names[found.find(i)], names[i]) for i in range(len(names)) if found.find(i) != i]
         return B.arrow_rows(rows, _LINKS)
 
-    return dealt.groupBy("component", "low", "high").applyInArrow(join, "a long, b long")
+    return small.unionByName(in_pairs).groupBy("component", "pair").applyInArrow(join, "a long, b long").unionByName(led)
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, n: int = N, chunk: int = CHUNK_SHINGLES) -> DataFrame:
