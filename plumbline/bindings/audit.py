@@ -159,43 +159,46 @@ detail as (
     from staged join ind using (event_type) join den using (user_name)
     where in_impossibility_test
 ),
+finding as (
+    select user_id, 'volume' as kind, 3 as weight, null as event_type, null as value, null as day
+    from attr where attrition_flag
+    union all by name select user_id, 'share' as kind, 1 as weight, event_type, value, day from detail where is_impossible
+    union all by name select user_id, 'heads' as kind, 2 as weight, event_type, value, day from detail where is_extreme
+),
+tally as (
+    select user_id, cast(sum(weight) as bigint) as score,
+           sum((kind = 'share')::int)::bigint as incidents, sum((kind = 'heads')::int)::bigint as extreme_incidents,
+           count(distinct case kind when 'share' then event_type end) as indicators_affected,
+           max(case kind when 'share' then value end) as max_value, max(case kind when 'share' then day end) as latest_incident
+    from finding group by user_id
+),
 summ as (
-    select user_id, user_name,
-           count(*) filter (where is_impossible) as incidents,
-           count(*) filter (where is_extreme) as extreme_incidents,
-           count(distinct event_type) filter (where is_impossible) as indicators_affected,
-           max(value) filter (where is_impossible) as max_value,
-           max(day) filter (where is_impossible) as latest_incident,
-           count(*) filter (where is_impossible) > 0 as impossible_flag
-    from detail group by user_id, user_name
+    select user_id, user_name, coalesce(incidents, 0) as incidents, coalesce(extreme_incidents, 0) as extreme_incidents,
+           coalesce(indicators_affected, 0) as indicators_affected, max_value, latest_incident,
+           coalesce(incidents, 0) > 0 as impossible_flag
+    from (select distinct user_id, user_name from detail) left join tally using (user_id)
+),
+tenths as (
+    select user_id, latest_period, list_transform([completeness_fraction, coalesce(prior_fraction, 0)],
+           lambda x: (round((x * 100)::decimal(28, 8), 1)::decimal(22, 1))::varchar) as shares
+    from attr
+),
+sentence as (
+    select user_id, 1 as place, printf('""" + audit.ATTRITION_REASON + """', shares[1], latest_period::varchar, shares[2]) as said
+    from tenths semi join (from finding where kind = 'volume') using (user_id)
+    union all
+    select user_id, 2, printf('""" + audit.IMPOSSIBLE_REASON + """', incidents::varchar, indicators_affected::varchar,
+           regexp_replace(max_value::decimal(38, 10)::varchar, '\\.?0+$', ''), latest_incident::varchar)
+    from tally where incidents > 0
 ),
 card as (
-    select ent.user_id, ent.user_name, population_mean, latest_period, reported, basket_size,
+    select user_id, user_name, population_mean, latest_period, reported, basket_size,
            completeness_fraction, prior_period, prior_fraction, relative_drop, attrition_flag,
-           coalesce(incidents, 0) as incidents,
-           coalesce(extreme_incidents, 0) as extreme_incidents,
-           coalesce(indicators_affected, 0) as indicators_affected,
-           max_value, latest_incident, coalesce(impossible_flag, false) as impossible_flag,
-           cast(3 * (case when attrition_flag then 1 else 0 end) + coalesce(incidents, 0)
-               + 2 * coalesce(extreme_incidents, 0) as bigint) as score,
-           concat_ws('; ',
-               case when attrition_flag then
-                   'reporting-volume attrition: '
-                   || cast(cast(round(cast(completeness_fraction * 100 as decimal(28, 8)), 1)
-                           as decimal(22, 1)) as varchar)
-                   || '% of basket reported in ' || latest_period || ' (prior year '
-                   || cast(cast(round(cast(coalesce(prior_fraction, 0) * 100 as decimal(28, 8)), 1)
-                           as decimal(22, 1)) as varchar) || '%)' end,
-               case when coalesce(incidents, 0) > 0 then
-                   'biological impossibility: ' || incidents || ' indicator-year(s) across '
-                   || indicators_affected || ' distinct indicator(s), max '
-                   || regexp_replace(cast(cast(max_value as decimal(38, 10)) as varchar), '\\.?0+$', '')
-                   || '% coverage (most recent: ' || latest_incident || ')' end
-           ) as reasons
-    from ent
-    left join den using (user_name)
-    left join attr using (user_id)
-    left join (select * exclude (user_name) from summ) as s using (user_id)
+           coalesce(incidents, 0) as incidents, coalesce(extreme_incidents, 0) as extreme_incidents,
+           coalesce(indicators_affected, 0) as indicators_affected, max_value, latest_incident,
+           coalesce(incidents > 0, false) as impossible_flag, coalesce(score, 0) as score, coalesce(reasons, '') as reasons
+    from ent left join den using (user_name) left join attr using (user_id) left join tally using (user_id)
+    left join (select user_id, string_agg(said, '; ' order by place) as reasons from sentence group by user_id) using (user_id)
 )
 """
 _ESCAPED = (
