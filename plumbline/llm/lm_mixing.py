@@ -18,8 +18,8 @@ Learning, from training rows only:
 * Followers of three-token contexts, by block too; a training row's own occurrence is taken out.
 * Count tables, from the distinct words times their counts. Hashing bounds them: the table size is a
   parameter, not a matter of the input, which is why they may be broadcast.
-* First weights: each task descends on its share of the distinct words (each bit predicted from the
-  counts without one occurrence of its own word), and the tasks' weights are averaged.
+* First weights: each task moves its own, online, over its share of the distinct words (each bit predicted
+  from the counts without one occurrence of its own word), and the tasks' weights are averaged.
 
 Scoring is online: every document starts with these weights and, after each few tokens, moves its own
 weights along the gradient of what it has just coded. Nothing of a document changes another's score.
@@ -44,6 +44,7 @@ TABLE_BITS = (18, 20, 21, 22)  # 2**bits slots for the contexts of 1, 2, 3 bytes
 INPUTS = len(TABLE_BITS)
 GATES = 12
 STEP_TOKENS = 16
+STEP_WORDS = 500  # distinct words of a step while first weights are learned
 CONTEXT = 3
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 MATCH_WEIGHTS = (0.9, 0.35, -0.6)  # to begin with: logit of the counts, hits in a row, bias
@@ -225,19 +226,14 @@ def _match_inputs(words, trains: np.ndarray, answers: np.ndarray) -> tuple[np.nd
     return expected, hit, inputs
 
 
-def _fit_weights(logits: np.ndarray, gate: np.ndarray, bit: np.ndarray, times: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Weights (gate, input) that code ``bit`` well, by descent with a diagonal scale."""
-    weights = np.full((GATES, INPUTS), 0.35, np.float32)
-    weight_of = (times / max(times.sum(), 1)).astype(np.float32)
-    scale = np.zeros((GATES, INPUTS), np.float32)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip((weights[gate] * logits).sum(1), -12, 12)))
-        err = (bit - p) * weight_of
-        for k in range(INPUTS):
-            grad = np.bincount(gate, err * logits[:, k], GATES)
-            scale[:, k] = 0.9 * scale[:, k] + grad**2
-            weights[:, k] += 0.05 * grad / np.sqrt(scale[:, k] + 1e-12)
-    return weights
+def _fit_weights(logits: np.ndarray, gate: np.ndarray, bit: np.ndarray, times: np.ndarray, weights: np.ndarray, scale: np.ndarray) -> None:
+    """One online step: moves ``weights`` (gate, input) along the gradient of coding ``bit``, in place."""
+    p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", weights[gate], logits), -12, 12)))
+    err = (bit - p) * (times / max(times.sum(), 1e-9))
+    grad = np.stack([np.bincount(gate, err * logits[:, k], GATES) for k in range(INPUTS)], 1).astype(np.float32)
+    scale *= 0.95
+    scale += 0.05 * grad**2
+    weights += 0.02 * grad / np.sqrt(scale + 1e-10)
 
 
 def _learned(told: DataFrame, code: ByteCode) -> tuple[list[np.ndarray], np.ndarray]:
@@ -283,19 +279,24 @@ def _learned(told: DataFrame, code: ByteCode) -> tuple[list[np.ndarray], np.ndar
     shared = spark.sparkContext.broadcast(tables)
 
     def fit(batches):
+        weights, scale, seen = np.full((GATES, INPUTS), 0.35, np.float32), np.zeros((GATES, INPUTS), np.float32), 0.0
         for batch in batches:
             for data, counts in zip(batch.column("data").to_pylist(), batch.column("more").to_pylist()):
-                words, times = data.split(b" ")[:20_000], np.frombuffer(counts, np.uint32)[:20_000]
-                n_bits, slots, bit, place = coded_bits(spelled(words), code)
-                logits = np.empty((len(bit), INPUTS), np.float32)
-                for k in range(INPUTS):
-                    n = np.exp(shared.value[k][slots[k]].astype(np.float32))
-                    n[np.arange(len(bit)), bit] -= 1  # without this occurrence
-                    n = np.maximum(n, PRIOR)
-                    logits[:, k] = np.log(n[:, 1] / n[:, 0])
-                each = np.repeat(times, n_bits).astype(np.float64)
-                weights = _fit_weights(logits, gates(place, n[:, 0] > 0.9, n[:, 1] > 0.9), bit, each)
-                yield pa.RecordBatch.from_pydict({"i": np.arange(weights.size), "w": weights.ravel() * each.sum(), "n": np.full(weights.size, each.sum())})
+                every, all_times = data.split(b" "), np.frombuffer(counts, np.uint32)
+                for lo in range(0, len(every), STEP_WORDS):
+                    times = all_times[lo : lo + STEP_WORDS]
+                    n_bits, slots, bit, place = coded_bits(spelled(every[lo : lo + STEP_WORDS]), code)
+                    logits = np.empty((len(bit), INPUTS), np.float32)
+                    for k in range(INPUTS):
+                        n = np.exp(shared.value[k][slots[k]].astype(np.float32))
+                        n[np.arange(len(bit)), bit] -= 1  # without this occurrence
+                        n = np.maximum(n, PRIOR)
+                        logits[:, k] = np.log(n[:, 1] / n[:, 0])
+                    each = np.repeat(times, n_bits).astype(np.float64)
+                    _fit_weights(logits, gates(place, n[:, 0] > 0.9, n[:, 1] > 0.9), bit, each, weights, scale)
+                    seen += each.sum()
+        if seen:
+            yield pa.RecordBatch.from_pydict({"i": np.arange(weights.size), "w": weights.ravel() * seen, "n": np.full(weights.size, seen)})
 
     means = vocabulary.mapInArrow(fit, "i long, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
     weights = np.full(GATES * INPUTS, 0.35, np.float32)
