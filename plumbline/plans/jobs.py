@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.operators import checks
 from plumbline.plans import audit, reallocation
 from plumbline.plans.audit import Names
-from plumbline.session import cut
+from plumbline.session import cut, scratch_path
 from plumbline.sources import writers
 
 
@@ -30,8 +30,10 @@ def audit_job(
     flagged entities are findings and do not.
     """
     checks.enforce([checks.non_empty(obs, "observations"), checks.non_empty(population, "population")])
-    # Three steps read the staged rows, so they are computed once.
-    kept = cut(audit.staged(obs, n, steady))
+    # Three steps read the staged rows, so they are stored once, by column: each reads what it needs.
+    path = scratch_path(obs.sparkSession, "staged")
+    audit.staged(obs, n, steady).write.parquet(path)
+    kept = obs.sparkSession.read.parquet(path)
     denominators = audit.staged_population(population, n.entity_name, n.fetched)
     grid = audit.completeness(kept, entities.select(n.entity), indicators, n)
     marks = cut(audit.attrition(audit.completeness_drop(grid, n), n))

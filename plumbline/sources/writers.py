@@ -129,11 +129,12 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def write_snapshot_csv(df: DataFrame, folder: str, name: str, at: datetime) -> str:
-    """Headed CSV snapshot in a folder named after the UTC time; times in ISO form."""
+    """Headed CSV snapshot in a folder named after the UTC time; times in ISO form. Written again for
+    the same time, as by a repeated job, it is replaced."""
     path = f"{folder}/{name}_{compact_stamp(at)}"
     iso = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
     writer = df.write.option("timestampNTZFormat", iso)
-    writer.csv(path, header=True, escape='"', timestampFormat=f"{iso}xxx")
+    writer.mode("overwrite").csv(path, header=True, escape='"', timestampFormat=f"{iso}xxx")
     return path
 
 
