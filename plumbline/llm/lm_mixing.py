@@ -43,6 +43,8 @@ from plumbline.llm.words import _BYTE, _LOWER, _powers_up_to, ngram_hashes, text
 TABLE_BITS = (18, 20, 21, 22)  # 2**bits slots for the contexts of 1, 2, 3 bytes and the whole beginning
 INPUTS = len(TABLE_BITS)
 GATES = 12
+BLOCK_BYTES = 4 << 20  # of text; all bit inputs of a block's distinct words are held at once
+PACKET_WORDS = 10_000
 STEP_TOKENS = 16
 STEP_WORDS = 500  # distinct words of a step while first weights are learned
 CONTEXT = 3
@@ -305,6 +307,23 @@ def _learned(told: DataFrame, code: ByteCode) -> tuple[list[np.ndarray], np.ndar
     return shared, weights.reshape(GATES, INPUTS)
 
 
+def _bit_inputs(spelt: list[bytes], code: ByteCode, tables: list[np.ndarray], piece: int = 10_000):
+    """For spelled tokens: each one's number of bits; logits, gate and value of every bit. Worked out for
+    some thousand tokens at a time, which bounds the memory of the steps between."""
+    many, logits, gate, bits = [], [], [], []
+    for lo in range(0, len(spelt), piece):
+        n_bits, slots, bit, place = coded_bits(spelt[lo : lo + piece], code)
+        part = np.empty((len(bit), INPUTS), np.float32)
+        for k in range(INPUTS):
+            logs = tables[k][slots[k]].astype(np.float32)
+            part[:, k] = logs[:, 1] - logs[:, 0]
+        many.append(n_bits)
+        logits.append(part.astype(np.float16))
+        gate.append(gates(place, logs[:, 0] > -0.1, logs[:, 1] > -0.1))
+        bits.append(bit)
+    return tuple(map(np.concatenate, (many, logits, gate, bits)))
+
+
 def _coded_online(token: np.ndarray, first: np.ndarray, bit_first: np.ndarray, logits, gate, bit, weights, match) -> np.ndarray:
     """The cost in nats of each text, whose tokens are token[first[i]:first[i + 1]] (places among distinct tokens).
 
@@ -352,7 +371,7 @@ def _coded_online(token: np.ndarray, first: np.ndarray, bit_first: np.ndarray, l
             at = np.arange(ends[-1]) + np.repeat(bit_first[tokens] - (ends - n_bits), n_bits)
             per_doc = np.add.reduceat(n_bits, place)
             local = np.repeat(np.arange(len(some), dtype=np.int32) * GATES, per_doc)
-            x, y, slot = logits[at], bit[at], local + gate[at]
+            x, y, slot = logits[at].astype(np.float32), bit[at], local + gate[at]
             w = own.reshape(-1, GATES, INPUTS)[some].reshape(-1, INPUTS)
             z = np.einsum("ij,ij->i", w[slot], x)
             np.clip(z, -11, 11, out=z)
@@ -382,7 +401,7 @@ def scored(docs: DataFrame, held_out=is_held_out) -> DataFrame:
     ship(docs.sparkSession)
     total, code = _bytes_and_code(docs, held_out)
     parts = B.LEAST_BLOCKS
-    while parts * B.BLOCK_BYTES < total:
+    while parts * BLOCK_BYTES < total:
         parts *= 2
     dealt = B.dealt(docs, parts)
 
@@ -426,9 +445,9 @@ def scored(docs: DataFrame, held_out=is_held_out) -> DataFrame:
         n = int(sums[one_each].sum())
         rows.append((1, -1, part, None, None, n, len(one_each)))
         capped = np.minimum(sums[one_each], 2**32 - 1).astype(np.uint32)
-        for lo in range(0, len(one_each), 50_000):
-            some = one_each[lo : lo + 50_000]
-            rows.append((2, -1, part, b" ".join(blobs.word(i) for i in some), capped[lo : lo + 50_000].tobytes(), 0, 0))
+        for lo in range(0, len(one_each), PACKET_WORDS):
+            some = one_each[lo : lo + PACKET_WORDS]
+            rows.append((2, -1, part, b" ".join(blobs.word(i) for i in some), capped[lo : lo + PACKET_WORDS].tobytes(), 0, 0))
         return B.arrow_rows(rows, _TOLD)
 
     told = stored(B.per_block(dealt, ask, ASK).groupBy("part").applyInArrow(add_up, TOLD), "word-counts")
@@ -452,13 +471,8 @@ def scored(docs: DataFrame, held_out=is_held_out) -> DataFrame:
         tokens = np.insert(inverse, words.first[1:], len(keys))
         first = words.first + np.arange(len(words.first))
         spelt = spelled([words.word(i) for i in at]) + [b"\n"]
-        n_bits, slots, bit, place = coded_bits(spelt, code)
-        logits = np.empty((len(bit), INPUTS), np.float32)
-        for k in range(INPUTS):
-            logs = shared.value[k][slots[k]].astype(np.float32)
-            logits[:, k] = logs[:, 1] - logs[:, 0]
-            seen = logs > -0.1
-        cost = _coded_online(tokens, first, np.concatenate([[0], np.cumsum(n_bits)]), logits, gates(place, seen[:, 0], seen[:, 1]), bit, weights, match)
+        n_bits, logits, gate, bit = _bit_inputs(spelt, code, shared.value)
+        cost = _coded_online(tokens, first, np.concatenate([[0], np.cumsum(n_bits)]), logits, gate, bit, weights, match)
         log_known, some = np.log10(known + 0.1)[tokens], (known > 0)[tokens]
         spelled_bytes = np.fromiter(map(len, spelt), np.int64, len(spelt))[tokens]
         rows = zip(
