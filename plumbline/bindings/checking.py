@@ -10,6 +10,20 @@ from plumbline.operators import aggregates, checks, joins
 R = Registry()
 
 
+@R.bind(
+    "check_unique_nulls",
+    """select 'unique(quality)' as "check", 'warn' as severity, count(*) as failing_rows,
+              min(concat_ws('|', quality::varchar, n::varchar)) as sample
+       from (select quality, count(*) as n from documents left join labels using (doc_id)
+             where quality is not null group by quality having n > 1)""",
+)
+def check_unique_nulls(spark, sf):
+    """Documents without a label have no quality; their missing keys are no duplicates."""
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    rated = table(spark, sf, "documents").select("doc_id").join(labels, "doc_id", "left")
+    return checks.report([checks.unique(rated, ["quality"], "warn")])
+
+
 @R.bind(
     "check_unique",
     """select 'unique(o_orderkey)' as "check", 'error' as severity, count(*) as failing_rows,

@@ -74,7 +74,8 @@ def read_seed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 def read_zip_member(spark: SparkSession, path: str, member: str, columns: Sequence[str]) -> DataFrame:
     """Text columns of one CSV member of each zip file. Files are spread over tasks and read in
-    chunks, so no task holds more than one archive and one chunk."""
+    chunks, so no task holds more than one archive and one chunk. An archive must be smaller than
+    2 GiB, the most that Spark reads as one binary value; a larger one is an error."""
     wanted = list(columns)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
