@@ -43,9 +43,10 @@ from plumbline.llm.words import _BYTE, _LOWER, _powers_up_to, ngram_hashes, text
 TABLE_BITS = (18, 20, 21, 22)  # 2**bits slots for the contexts of 1, 2, 3 bytes and the whole beginning
 INPUTS = len(TABLE_BITS)
 GATES = 12
-BLOCK_BYTES = 4 << 20  # of text; all bit inputs of a block's distinct words are held at once
+BLOCK_BYTES = 8 << 20  # of text; all bit inputs of a block's distinct words are held at once
 PACKET_WORDS = 10_000
-STEP_TOKENS = 16
+STEP_TOKENS = 32
+TOGETHER = 64  # documents a numpy step works on, so that its arrays stay in the cache
 STEP_WORDS = 500  # distinct words of a step while first weights are learned
 CONTEXT = 3
 END_HASH = np.uint64(0x5851F42D4C957F2D)
@@ -53,6 +54,7 @@ MATCH_WEIGHTS = (0.9, 0.35, -0.6)  # to begin with: logit of the counts, hits in
 LOW16 = np.uint64(0xFFFF)
 RATE = 0.02
 SHARD_BITS = 16
+LEAST_ERROR = 0.02  # of a bit's probability; smaller ones move no weight
 PRIOR = 0.15  # added to the counts of zeros and ones
 END = 10
 ASK = "kind int, block int, part int, words binary, counts binary, followers binary"
@@ -290,7 +292,7 @@ def _learned(told: DataFrame, code: ByteCode) -> tuple[list[np.ndarray], np.ndar
                     n_bits, slots, bit, place = coded_bits(spelled(every[lo : lo + STEP_WORDS]), code)
                     logits = np.empty((len(bit), INPUTS), np.float32)
                     for k in range(INPUTS):
-                        n = np.exp(shared.value[k][slots[k]].astype(np.float32))
+                        n = np.exp(np.take(shared.value[k], slots[k], 0, mode="clip").astype(np.float32))
                         n[np.arange(len(bit)), bit] -= 1  # without this occurrence
                         n = np.maximum(n, PRIOR)
                         logits[:, k] = np.log(n[:, 1] / n[:, 0])
@@ -308,23 +310,23 @@ def _learned(told: DataFrame, code: ByteCode) -> tuple[list[np.ndarray], np.ndar
 
 
 def _bit_inputs(spelt: list[bytes], code: ByteCode, tables: list[np.ndarray], piece: int = 10_000):
-    """For spelled tokens: each one's number of bits; logits, gate and value of every bit. Worked out for
-    some thousand tokens at a time, which bounds the memory of the steps between."""
-    many, logits, gate, bits = [], [], [], []
+    """For spelled tokens: each one's number of bits; of every bit the logits against the value it has, and
+    the gate. Worked out for some thousand tokens at a time, which bounds the memory of the steps between."""
+    many, logits, gate = [], [], []
     for lo in range(0, len(spelt), piece):
         n_bits, slots, bit, place = coded_bits(spelt[lo : lo + piece], code)
         part = np.empty((len(bit), INPUTS), np.float32)
         for k in range(INPUTS):
-            logs = tables[k][slots[k]].astype(np.float32)
+            logs = np.take(tables[k], slots[k], 0, mode="clip").astype(np.float32)
             part[:, k] = logs[:, 1] - logs[:, 0]
         many.append(n_bits)
-        logits.append(part.astype(np.float16))
+        part *= (1 - 2 * bit.astype(np.float32))[:, None]
+        logits.append(part)
         gate.append(gates(place, logs[:, 0] > -0.1, logs[:, 1] > -0.1))
-        bits.append(bit)
-    return tuple(map(np.concatenate, (many, logits, gate, bits)))
+    return tuple(map(np.concatenate, (many, logits, gate)))
 
 
-def _coded_online(token: np.ndarray, first: np.ndarray, bit_first: np.ndarray, logits, gate, bit, weights, match) -> np.ndarray:
+def _coded_online(token: np.ndarray, first: np.ndarray, bit_first: np.ndarray, logits, gate, weights, match) -> np.ndarray:
     """The cost in nats of each text, whose tokens are token[first[i]:first[i + 1]] (places among distinct tokens).
 
     All texts of the block move on together, ``STEP_TOKENS`` tokens at a time; each has weights of its own.
@@ -343,8 +345,8 @@ def _coded_online(token: np.ndarray, first: np.ndarray, bit_first: np.ndarray, l
         if not live:
             return cost
         docs = by_size[:live]
-        for lo in range(0, live, 512):
-            some = docs[lo : lo + 512]
+        for lo in range(0, live, TOGETHER):
+            some = docs[lo : lo + TOGETHER]
             begin = first[some] + step * STEP_TOKENS
             many = np.minimum(first[some + 1] - begin, STEP_TOKENS)
             place = np.cumsum(many) - many
@@ -368,19 +370,19 @@ def _coded_online(token: np.ndarray, first: np.ndarray, bit_first: np.ndarray, l
             place = np.cumsum(many) - many
             n_bits = bit_first[tokens + 1] - bit_first[tokens]
             ends = np.cumsum(n_bits)
-            at = np.arange(ends[-1]) + np.repeat(bit_first[tokens] - (ends - n_bits), n_bits)
+            at = np.arange(ends[-1], dtype=np.int32) + np.repeat((bit_first[tokens] - (ends - n_bits)).astype(np.int32), n_bits)
             per_doc = np.add.reduceat(n_bits, place)
             local = np.repeat(np.arange(len(some), dtype=np.int32) * GATES, per_doc)
-            x, y, slot = logits[at].astype(np.float32), bit[at], local + gate[at]
+            x, slot = np.take(logits, at, 0, mode="clip"), local + np.take(gate, at, mode="clip")
             w = own.reshape(-1, GATES, INPUTS)[some].reshape(-1, INPUTS)
-            z = np.einsum("ij,ij->i", w[slot], x)
-            np.clip(z, -11, 11, out=z)
-            z *= 1 - 2 * y.astype(np.float32)  # the odds against what came
-            e = np.exp(z)
-            loss = np.log1p(e)
+            z = np.einsum("ij,ij->i", np.take(w, slot, 0, mode="clip"), x)
+            e = np.exp(np.clip(z, -11, 11, out=z), out=z)  # the odds against what came
+            loss = np.log(1 + e)
             cost[some] += np.add.reduceat(loss, np.cumsum(per_doc) - per_doc)
-            err = (e / (1 + e)) * (2 * y.astype(np.float32) - 1)
-            grad = np.stack([np.bincount(slot, err * x[:, k], len(w)) for k in range(INPUTS)], 1).astype(np.float32)
+            err = e / (1 + e)
+            wrong = np.flatnonzero(err > LEAST_ERROR)
+            pull, x, slot = -err[wrong], np.take(x, wrong, 0, mode="clip"), slot[wrong]
+            grad = np.stack([np.bincount(slot, pull * x[:, k], len(w)) for k in range(INPUTS)], 1).astype(np.float32)
             seen = drift.reshape(-1, GATES, INPUTS)[some].reshape(-1, INPUTS) + grad**2
             w += RATE * grad / np.sqrt(seen + 25)
             own.reshape(-1, GATES, INPUTS)[some] = w.reshape(-1, GATES, INPUTS)
@@ -471,8 +473,8 @@ def scored(docs: DataFrame, held_out=is_held_out) -> DataFrame:
         tokens = np.insert(inverse, words.first[1:], len(keys))
         first = words.first + np.arange(len(words.first))
         spelt = spelled([words.word(i) for i in at]) + [b"\n"]
-        n_bits, logits, gate, bit = _bit_inputs(spelt, code, shared.value)
-        cost = _coded_online(tokens, first, np.concatenate([[0], np.cumsum(n_bits)]), logits, gate, bit, weights, match)
+        n_bits, logits, gate = _bit_inputs(spelt, code, shared.value)
+        cost = _coded_online(tokens, first, np.concatenate([[0], np.cumsum(n_bits)]), logits, gate, weights, match)
         log_known, some = np.log10(known + 0.1)[tokens], (known > 0)[tokens]
         spelled_bytes = np.fromiter(map(len, spelt), np.int64, len(spelt))[tokens]
         rows = zip(
