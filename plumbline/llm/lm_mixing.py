@@ -11,7 +11,7 @@ Before a token is spelled, a match predictor has its say: the three tokens befor
 context too, and the token that followed this context most often elsewhere in the training rows is
 expected. One more bit tells whether it came; its predictors are the logit of the counts and the
 number of expectations met in a row, mixed like the others. If it came, nothing is spelled.
-(The expected token is kept as 16 bits of its hash, so one miss in 65,536 passes for a hit.)
+(The expected token is kept as 16 bits of its hash, never 0, so one miss in 65,535 passes for a hit.)
 
 Learning, from training rows only:
 * Word counts, exact, by block (see ``blocks``): what is shuffled grows with the corpus's words.
@@ -175,6 +175,22 @@ def _token_hashes(words) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words.hash, words.first[1:], END_HASH), words.first + np.arange(len(words.first))
 
 
+def _tag(hashes: np.ndarray) -> np.ndarray:
+    """16 bits of each token's hash, never 0: that stands for what is not learned."""
+    return np.maximum(hashes >> np.uint64(48), np.uint64(1))
+
+
+def _packed_counts(times: np.ndarray) -> bytes:
+    """Exact counts, one byte each; those from 255 on follow as 32 bits."""
+    return np.minimum(times, 255).astype(np.uint8).tobytes() + times[times >= 255].astype(np.uint32).tobytes()
+
+
+def _unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    times = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    times[times == 255] = np.frombuffer(data, np.uint32, -1, n) if len(data) > n else 0
+    return times
+
+
 def _contexts(words, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of tokens with a whole context; each one's context with 16 bits of its own hash (zeros where
     held out, for what follows there is not learned); whether it is learned from."""
@@ -183,16 +199,15 @@ def _contexts(words, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     at = np.flatnonzero(np.arange(len(hashes)) - np.repeat(first[:-1], sizes) >= CONTEXT)
     learned = np.repeat(trains, sizes)[at]
     key = ngram_hashes(hashes, CONTEXT)[at - CONTEXT] & ~LOW16
-    return at, key | np.where(learned, hashes[at] >> np.uint64(48), np.uint64(0)), learned
+    return at, key | np.where(learned, _tag(hashes[at]), np.uint64(0)), learned
 
 
 def _expected(rows: list[tuple]) -> list[bytes]:
-    """Answers to context requests of one key range: follower, its count and the context's, 32 bits an entry."""
+    """Answers to context requests of one key range, 32 bits an entry: the follower, and the log odds that it
+    comes as a half float, from exact counts without the row's own occurrence; 0 if nothing is expected."""
     keys = [np.frombuffer(k, np.uint32).astype(np.uint64) << np.uint64(16) for k, _, _ in rows]
-    counts = [np.frombuffer(c, np.uint8) for _, c, _ in rows]
     code = np.concatenate([k | np.frombuffer(f, np.uint16) for k, (_, _, f) in zip(keys, rows)])
-    flagged = np.concatenate(counts)
-    count = (flagged & 127).astype(np.int64)
+    count = np.concatenate([_unpacked_counts(c, len(k)) for k, (_, c, _) in zip(keys, rows)])
     pairs, inverse = np.unique(code, return_inverse=True)
     times = np.bincount(inverse, count, len(pairs)).astype(np.int64)
     context = pairs >> np.uint64(16)
@@ -200,12 +215,13 @@ def _expected(rows: list[tuple]) -> list[bytes]:
     group = np.cumsum(np.concatenate([[0], context[1:] != context[:-1]]))
     total, most = np.add.reduceat(times, begins), np.maximum.reduceat(times, begins)
     leaders = np.flatnonzero(times == most[group])
-    leader = leaders[np.unique(group[leaders], return_index=True)[1]]
-    answer = ((pairs[leader] & LOW16) << np.uint64(16)) | (np.minimum(most, 255) << 8).astype(np.uint64) | np.minimum(total, 255).astype(np.uint64)
-    answer[total == 0] = 0
-    each = group[inverse]
-    # Where a block's only occurrence is the corpus's only one, there is nothing to expect.
-    found = np.where((total[each] == count) & (count == 1) & (flagged < 128), 0, answer[each]).astype(np.uint32)
+    leader = leaders[np.unique(group[leaders], return_index=True)[1]][group]  # of each pair's context
+    learned = (pairs & LOW16) > 0
+    most = most[group] - (learned & (leader == np.arange(len(pairs))))
+    rest = np.maximum(total[group] - learned - most, 0)
+    odds = np.log((most + 0.3) / (rest + 0.3)).astype(np.float16).view(np.uint16)
+    answer = np.where(most > 0, (pairs[leader] & LOW16) << np.uint64(16) | odds, 0).astype(np.uint32)
+    found = answer[inverse]
     edges = np.cumsum([0, *map(len, keys)])
     return [found[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
 
@@ -213,15 +229,12 @@ def _expected(rows: list[tuple]) -> list[bytes]:
 def _match_inputs(words, trains: np.ndarray, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all tokens of a block: whether one was expected, whether it came, and the predictors of that."""
     hashes, first = _token_hashes(words)
-    at, pairs, learned = _contexts(words, trains)
+    at, pairs, _ = _contexts(words, trains)
     told = answers[np.unique(pairs, return_inverse=True)[1]] if len(at) else np.zeros(0, np.uint32)
-    follower, most, total = told >> 16, (told >> 8 & 255).astype(np.int64), (told & 255).astype(np.int64)
-    came = (hashes[at] >> np.uint64(48)).astype(np.uint32) == follower
-    most, total = most - (learned & came), total - learned  # without the row's own occurrence
-    some = most > 0
+    came, some = _tag(hashes[at]) == told >> np.uint32(16), told > 0
     expected, hit, logit = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool), np.zeros(len(hashes), np.float32)
     expected[at[some]], hit[at[some]] = True, came[some]
-    logit[at[some]] = np.log((most[some] + 0.3) / (np.maximum(total - most, 0)[some] + 0.3))
+    logit[at[some]] = (told[some] & np.uint32(0xFFFF)).astype(np.uint16).view(np.float16)
     # Hits in a row before each token, within its text.
     last_miss = np.maximum.accumulate(np.where(hit, -1, np.arange(len(hashes))))
     run = np.arange(len(hashes)) - 1 - np.concatenate([[-1], last_miss[:-1]])
@@ -419,12 +432,11 @@ def scored(docs: DataFrame, held_out=is_held_out) -> DataFrame:
             rows.append((0, block, part, b" ".join(words.word(i) for i in at[some]), counts[some].tobytes(), None))
         _, pairs, learned = _contexts(words, train)
         pairs, place = np.unique(pairs, return_inverse=True)
-        times = np.minimum(np.bincount(place, learned, len(pairs)), 127).astype(np.uint8)
-        times |= np.where(np.bincount(place, ~learned, len(pairs)) > 0, 128, 0).astype(np.uint8)
+        times = np.bincount(place, learned, len(pairs)).astype(np.int64)
         shift = np.uint64(parts.bit_length() - 1)
         for part, some in B.by_key_range(pairs, parts):
             short = ((pairs[some] << shift) >> np.uint64(32)).astype(np.uint32)
-            rows.append((1, block, part, short.tobytes(), times[some].tobytes(), (pairs[some] & LOW16).astype(np.uint16).tobytes()))
+            rows.append((1, block, part, short.tobytes(), _packed_counts(times[some]), (pairs[some] & LOW16).astype(np.uint16).tobytes()))
         return B.arrow_rows(rows, _ASK)
 
     def add_up(whole: pa.Table) -> pa.Table:

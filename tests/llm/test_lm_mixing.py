@@ -79,3 +79,12 @@ def test_code_is_a_prefix_code():
     code = lm_mixing.ByteCode(np.arange(256) ** 2)
     words = {tuple(code.bit[f : f + n].tolist()) for f, n in zip(code.first, code.length)}
     assert len(words) == 256 and abs(sum(2.0 ** -len(w) for w in words) - 1) < 1e-12
+
+
+def test_expected_followers_keep_their_real_share():
+    key, follower = np.array([5, 5, 9], np.uint32), np.array([7, 8, 7], np.uint16)
+    told = lm_mixing._expected([(key.tobytes(), lm_mixing._packed_counts(np.array(n)), follower.tobytes()) for n in ([4000, 400, 1], [697, 59, 0])])
+    odds = [np.frombuffer(x, np.uint32).astype(np.uint16).view(np.float16).astype(float).tolist() for x in told]
+    for found in odds:  # 4697 of 5156, for the leader's rows without the own occurrence
+        assert abs(found[0] - math.log(4696.3 / 459.3)) < 0.01 and abs(found[1] - math.log(4697.3 / 458.3)) < 0.01
+        assert found[2] == 0  # what occurs once and here is expected by nothing
