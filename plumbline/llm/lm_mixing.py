@@ -45,7 +45,7 @@ INPUTS = len(TABLE_BITS)
 GATES = 12
 BLOCK_BYTES = 8 << 20  # of text; all bit inputs of a block's distinct words are held at once
 PACKET_WORDS = 10_000
-STEP_TOKENS = 32
+STEP_TOKENS = 16
 TOGETHER = 64  # documents a numpy step works on, so that its arrays stay in the cache
 STEP_WORDS = 500  # distinct words of a step while first weights are learned
 CONTEXT = 3
@@ -54,7 +54,6 @@ MATCH_WEIGHTS = (0.9, 0.35, -0.6)  # to begin with: logit of the counts, hits in
 LOW16 = np.uint64(0xFFFF)
 RATE = 0.02
 SHARD_BITS = 16
-LEAST_ERROR = 0.02  # of a bit's probability; smaller ones move no weight
 PRIOR = 0.15  # added to the counts of zeros and ones
 END = 10
 ASK = "kind int, block int, part int, words binary, counts binary, followers binary"
@@ -392,9 +391,7 @@ def _coded_online(token: np.ndarray, first: np.ndarray, bit_first: np.ndarray, l
             e = np.exp(np.clip(z, -11, 11, out=z), out=z)  # the odds against what came
             loss = np.log(1 + e)
             cost[some] += np.add.reduceat(loss, np.cumsum(per_doc) - per_doc)
-            err = e / (1 + e)
-            wrong = np.flatnonzero(err > LEAST_ERROR)
-            pull, x, slot = -err[wrong], np.take(x, wrong, 0, mode="clip"), slot[wrong]
+            pull = -e / (1 + e)
             grad = np.stack([np.bincount(slot, pull * x[:, k], len(w)) for k in range(INPUTS)], 1).astype(np.float32)
             seen = drift.reshape(-1, GATES, INPUTS)[some].reshape(-1, INPUTS) + grad**2
             w += RATE * grad / np.sqrt(seen + 25)

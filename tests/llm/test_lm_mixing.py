@@ -88,3 +88,14 @@ def test_expected_followers_keep_their_real_share():
     for found in odds:  # 4697 of 5156, for the leader's rows without the own occurrence
         assert abs(found[0] - math.log(4696.3 / 459.3)) < 0.01 and abs(found[1] - math.log(4697.3 / 458.3)) < 0.01
         assert found[2] == 0  # what occurs once and here is expected by nothing
+
+
+def test_small_errors_and_short_texts_move_weights():
+    weights, n = np.full((lm_mixing.GATES, lm_mixing.INPUTS), 0.35, np.float32), 4000
+    nothing = np.zeros(n, bool), np.zeros(n, bool), np.zeros((n, 3), np.float32)
+    one_bit = np.arange(2), np.full((1, lm_mixing.INPUTS), -3.0, np.float32), np.zeros(1, np.uint8)
+    cost = lambda n: lm_mixing._coded_online(np.zeros(n, int), np.array([0, n]), *one_bit, weights, nothing)[0]
+    still = math.log1p(math.exp(-0.35 * lm_mixing.INPUTS * 3))
+    assert cost(16) == pytest.approx(16 * still, rel=1e-5)
+    assert cost(32) < 32 * still * 0.9999  # the second step has learned from the first
+    assert cost(n) < n * still * 0.7
