@@ -73,8 +73,11 @@ class Index:
     def cells(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _nearest(rows[:, : self.half], self.first), _nearest(rows[:, self.half :], self.second)
 
-    def visited(self, query: np.ndarray, k: int, share: float) -> list[tuple[int, int]]:
-        """Cells by falling summed score, until they are expected to hold ``share`` of the k best."""
+    def visited(self, query: np.ndarray, k: int, share: float, own: int = 0) -> list[tuple[int, int]]:
+        """Cells by falling summed score, until they are expected to hold ``share`` of the k best and hold k.
+
+        ``own`` rows, the query's and others of its id, are no neighbours. They may stand in any cell, so
+        ``own`` more entries are asked for, both of the k best and of those held."""
         a, b = self.first @ query[: self.half], self.second @ query[self.half :]
         score = a[:, None] + b[None, :]
         d1, d2 = self.half, len(query) - self.half
@@ -82,7 +85,7 @@ class Index:
         deviation = np.sqrt(n1 * self.spread[0][:, None] / d1 + n2 * self.spread[1][None, :] / max(d2, 1)) + 1e-12
         low, high = float((score - 9 * deviation).min()), float((score + 9 * deviation).max())
         total = self.size.sum()
-        want = min(k, total)
+        want = min(k + own, total)
         for _ in range(40):
             middle = (low + high) / 2
             if (self.size * _upper_tail((middle - score) / deviation)).sum() > want:
@@ -93,7 +96,7 @@ class Index:
         enough, held, entries = share * expected.sum(), 0.0, 0
         order1, order2 = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
         heap, seen, out = [(-(a[order1[0]] + b[order2[0]]), 0, 0)], {(0, 0)}, []
-        while heap and (held < enough or entries < want or total <= k + 1):
+        while heap and (held < enough or entries < want or total <= k + own):
             _, i, j = heapq.heappop(heap)
             cell = int(order1[i]), int(order2[j])
             if self.size[cell]:
@@ -173,7 +176,7 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, share: float =
     index = built(rows, lengths.n)
     shared = spark.sparkContext.broadcast(index)
     chunks_of = np.maximum(-(-index.size.sum(1) // CHUNK_ENTRIES), 1)
-    queries = rows.where(is_query).dropDuplicates(["vec_id"])
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.any_value("v").alias("v"), F.count("*").alias("own"))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
 
     def enter(batches):
@@ -185,12 +188,12 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 20, share: float =
 
     def visit(batches):
         for batch in batches:
-            ids, m = batch.column("vec_id").to_pylist(), _matrix(batch.column("v"))
+            ids, m, own = batch.column("vec_id").to_pylist(), _matrix(batch.column("v")), batch.column("own").to_pylist()
             for lo in range(0, len(ids), 200):
                 out = []
                 for r in range(lo, min(lo + 200, len(ids))):
                     lists: dict[int, list[int]] = {}
-                    for i, j in shared.value.visited(m[r], k, share):
+                    for i, j in shared.value.visited(m[r], k, share, own[r]):
                         lists.setdefault(i, []).append(j)
                     out += [(ids[r], m[r], i, js, c) for i, js in lists.items() for c in range(int(chunks_of[i]))]
                 columns = list(zip(*out)) or [[]] * 5

@@ -64,6 +64,16 @@ def test_ties_frequent_vectors_and_unusable_rows(spark):
     assert [v for v, _ in found[100]] == [*range(20)] and len(found[120]) == 20
 
 
+@pytest.mark.parametrize("copies", [1, 5])
+def test_tight_clusters_as_large_as_the_answer(spark, copies):
+    rng = np.random.default_rng(3)
+    centres = np.eye(12)[:, rng.permutation(12)] * 10 + np.tile(np.eye(6), (2, 2)) * 5
+    rows = [(i, (centres[i % 12] + rng.standard_normal(12) * 1e-4).tolist()) for i in range(12 * 20)]
+    rows += [row for row in rows if row[0] in (0, 20, 40) for _ in range(copies - 1)]
+    found = found_of(multi_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0))
+    assert len(found) == 12 and {len(best) for best in found.values()} == {20}
+
+
 def test_fewer_candidates_than_asked(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert found_of(multi_index.nearest(df, F.col("vec_id") % 20 == 0)) == {20: [(2, 1.0), (1, 0.0)]}
