@@ -1,10 +1,10 @@
 """Quality of documents by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms describe its form: hashed runs of three character classes (lower-case letters, capitals
-and digits are one class each, other ASCII characters stand for themselves), and shares of repeated
-words, capitals and marks. Terms are weighted by log frequency and inverse document frequency, and a
-truncated singular value decomposition of a bounded, documented sample of labelled rows turns them
-into short vectors. The labelled vectors are broadcast (their number and length are parameters);
+A text's terms are its words (A-Z lower-cased, hashed), and beside them its form: hashed runs of three
+character classes (lower-case letters, capitals and digits are one class each, other ASCII characters
+stand for themselves), and shares of repeated words and capitals. Terms are weighted by log frequency
+and by inverse document frequency over all documents, and a truncated singular value decomposition of a
+bounded, documented sample of labelled rows turns them into short vectors. The labelled vectors are broadcast (their number and length are parameters);
 every document's cosine to every one of them is computed exactly, in blocks, and its nearest
 neighbours vote with their similarity.
 """
@@ -29,19 +29,20 @@ SHARPNESS = 8  # power of the similarity that a vote weighs
 ACCEPTED = 0.3
 RUNS = 2048
 STEPS = 20
-TERMS = RUNS + 4 * STEPS
+FORM = RUNS + 3 * STEPS
+WORDS = 8192
+TERMS = FORM + WORDS
 BLOCK = 256
 
 _CLASS = np.arange(256, dtype=np.uint32)
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 97, 65, 48, 128
-_MARK = np.zeros(256, bool)
-_MARK[[33, 35, 36, 37, 38, 42, 124]] = True  # ! # $ % & * |
 
 
 def terms(texts: pa.Array) -> np.ndarray:
     """Term weights of each text; null and empty texts have none."""
     buf, edges = text_bytes(texts)
-    words = words_of(texts, lower=False)
+    words = words_of(texts, lower=True)
+    slots = (words.hash % np.uint64(WORDS)).astype(np.int64)
     out = np.zeros((len(texts), TERMS), np.float32)
 
     def stepped(row: int, group: int, share: float) -> None:
@@ -59,10 +60,39 @@ def terms(texts: pa.Array) -> np.ndarray:
             stepped(i, 0, len(np.unique(own)) / len(own))
             stepped(i, 1, float(np.mean(own[1:] == own[:-1])) if len(own) > 1 else 0.0)
             stepped(i, 2, float(np.mean(_CLASS[raw] == 65)))
-            stepped(i, 3, 2 * float(np.mean(_MARK[raw])))
+            seen = np.bincount(slots[words.first[i] : words.first[i + 1]], minlength=WORDS)
+            out[i, FORM:] = np.log1p(seen) / np.log1p(len(own))
     return out
 
 
+def _packed(row: np.ndarray) -> bytes:
+    at = np.flatnonzero(row).astype(np.uint16)
+    return at.tobytes() + row[at].astype(np.float16).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    row, n = np.zeros(TERMS, np.float32), len(data) // 4
+    row[np.frombuffer(data, np.uint16, n)] = np.frombuffer(data, np.float16, n, 2 * n)
+    return row
+
+
+def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+    """Of each term, over all rows of ``docs``; a task sends one row a term."""
+
+    def count(batches):
+        n, held = 0, np.zeros(TERMS, np.int64)
+        for batch in batches:
+            for lo in range(0, len(batch), BLOCK):
+                held += np.count_nonzero(terms(batch.column("text").slice(lo, BLOCK)), axis=0)
+            n += len(batch)
+        yield pa.RecordBatch.from_pydict({"term": np.arange(TERMS + 1), "n": np.append(held, n)})
+
+    sums = np.zeros(TERMS + 1)
+    for row in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        sums[row.term] = row.n
+    return (np.log((1 + sums[-1]) / (1 + sums[:-1])) + 1).astype(np.float32)
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
@@ -116,16 +146,18 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, latent: int
         for batch in batches:
             for lo in range(0, len(batch), BLOCK):
                 some = batch.slice(lo, BLOCK)
-                rows = [x.tobytes() for x in terms(some.column("text")).astype(np.float16)]
+                rows = [_packed(x) for x in terms(some.column("text"))]
                 yield pa.RecordBatch.from_pydict({"doc_id": some.column("doc_id"), "quality": some.column("quality"), "row": pa.array(rows, pa.binary())})
 
     found = of_sample.select("doc_id", "quality", "text").mapInArrow(compute, "doc_id long, quality int, row binary").collect()
     found = sorted(found, key=lambda r: (r.doc_id, r.row))[: 2 * sample]
     if not found:
         return Voters(np.ones(TERMS, np.float32), np.zeros((TERMS, latent), np.float32), np.zeros((0, latent), np.float32), np.zeros(0), 0.5)
-    rows = np.stack([np.frombuffer(r.row, np.float16).astype(np.float32) for r in found])
-    scale = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(0))) + 1).astype(np.float32)
-    weighted = unit(rows * scale)
+    rows = np.stack([_unpacked(r.row) for r in found])
+    scale = inverse_frequencies(docs)
+    rows *= scale
+    weighted = unit(rows)
+    del rows
     # Truncated decomposition by subspace iteration.
     axes = np.random.Generator(np.random.PCG64(9)).standard_normal((TERMS, latent + 8)).astype(np.float32)
     for _ in range(8):

@@ -54,3 +54,24 @@ def test_votes_are_exact():
         best = np.argsort(-row)[: quality.NEIGHBOURS]
         weight = row[best].astype(float) ** quality.SHARPNESS
         assert abs(score - (weight * (best % 2)).sum() / weight.sum()) < 1e-5
+
+
+def test_texts_that_differ_only_in_words_are_told_apart(spark):
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(5))
+    good, bad = [word("abcdefgh") for _ in range(60)], [word("nopqrstu") for _ in range(60)]
+    rows = [(i, " ".join(rng.choice((bad, good)[i % 2]) for _ in range(40))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    held = [(d, p) for d, h, p in rows_of(quality.scored(docs, labels), "doc_id", "held_out", "predicted") if h]
+    assert len(held) > 50 and sum(p == d % 2 for d, p in held) > 0.95 * len(held)
+
+
+def test_document_frequencies_cover_all_documents(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [f"common {'other' if i % 4 else 'third'}" for i in range(400)]
+    found = quality.inverse_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    held = np.count_nonzero(quality.terms(pa.array(texts)), axis=0)
+    assert np.allclose(found, np.log(401 / (1 + held)) + 1)
