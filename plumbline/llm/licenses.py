@@ -1,6 +1,7 @@
 """Licence statements in documents: a trained paragraph classifier, confirmed by template comparison.
 
-A paragraph is a line that is not blank. Its features are the words and word pairs it holds. A sparse
+A paragraph is a block of lines up to a blank one; each of its lines is scored as well, so that one-line
+statements inside prose are found. Its features are the words and word pairs it holds. A sparse
 multinomial logistic regression over licence families and an unknown class is trained on the driver
 from a fixed set of notices (with words left out and added) and a bounded sample of the corpus's own
 lines as unknowns; word pairs and words that are common in that sample are no features. Probabilities
@@ -34,6 +35,7 @@ NOTICES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "This software is released under the Apache License 2.0.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -41,6 +43,9 @@ NOTICES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
         "Licensed under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -48,6 +53,7 @@ NOTICES = {
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Released under the GNU GPL, version 2 or later.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
@@ -62,6 +68,9 @@ NOTICES = {
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the BSD 3-Clause License.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
@@ -93,6 +102,7 @@ NOTICES = {
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
         "Released under the ISC License.",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
         "SPDX-License-Identifier: ISC",
     ],
 }
@@ -109,9 +119,19 @@ def features(of: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, words): lines that hold a word, numbered from 0 among all lines; none for null texts."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("paragraph", "line"))
-    return lines.select("doc_id", "paragraph", once(tokens(F.col("line"))).alias("words")).where("size(words) > 0")
+    """(doc_id, start, whole, paragraph, words): lines that hold a word, and whole blocks of several lines up to a
+    blank one, which stand at their first line; lines are numbered from 0 among all. None for null texts."""
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), once(F.split("text", r"\r\n|[\n\r]")).alias("lines")).where("lines is not null")
+    blank = F.filter(F.transform("lines", lambda line, i: F.when(~line.rlike(r"\S"), i)), lambda i: i.isNotNull())
+    edges = lines.select("doc_id", "lines", once(F.concat(F.array(F.lit(-1)), blank, F.array(F.size("lines")))).alias("edges"))
+    spans = edges.select("doc_id", "lines", F.posexplode("edges").alias("at", "edge"), F.col("edges"))
+    spans = spans.where(F.get("edges", F.col("at") + 1) > F.col("edge") + 1)
+    blocks = spans.select("doc_id", (F.col("edge") + 1).alias("start"), once(F.slice("lines", F.col("edge") + 2, F.get("edges", F.col("at") + 1) - F.col("edge") - 1)).alias("body"))
+    unit = lambda at, whole, text: F.struct(at.alias("paragraph"), F.lit(whole).alias("whole"), text.alias("text"))
+    single = F.transform("body", lambda line, i: unit(F.col("start") + i, False, line))
+    several = F.when(F.size("body") > 1, F.array(unit(F.col("start"), True, F.array_join("body", " ")))).otherwise(F.slice(single, 1, 0))
+    units = blocks.select("doc_id", "start", F.inline(F.concat(single, several)))
+    return units.select("doc_id", "start", "whole", "paragraph", once(tokens(F.col("text"))).alias("words")).where("size(words) > 0")
 
 
 @dataclass
@@ -204,7 +224,9 @@ def trained(lines: list[list[str]], rounds: int = 200, shrink: float = 2e-4) ->
 def licence_paragraphs(docs: DataFrame) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, confirmed) of paragraphs that are not unknown.
 
-    Every line of every text (doc_id, text) is scored. ``similarity`` is the largest share of a
+    Every line of every text (doc_id, text) and every block of lines up to a blank one is scored. A block
+    stands for its lines of the same family, at its first line, unless one of them alone is confirmed
+    or the block is not, but a line is found. ``similarity`` is the largest share of a
     notice's words, among the family's notices, that the paragraph holds. Null, empty and wordless
     texts have no paragraphs; repeated rows of a document count once; other columns are ignored.
     """
@@ -217,16 +239,21 @@ def licence_paragraphs(docs: DataFrame) -> DataFrame:
     weights = spark.createDataFrame(list(model.weights.items()), "feature string, weight array<double>")
     notices = spark.createDataFrame([(f, sorted(set(_words(t)))) for f, ts in NOTICES.items() for t in ts], "family string, notice array<string>")
     # Bounded by the notices: some thousand features, some dozen notices.
-    featured = lines.select("doc_id", "paragraph", "words", once(features(F.col("words"))).alias("features"))
-    met = featured.select("doc_id", "paragraph", "words", F.explode("features").alias("feature")).join(F.broadcast(weights), "feature")
-    grouped = met.groupBy("doc_id", "paragraph", "words").agg(F.sort_array(F.collect_set(F.struct("feature", "weight"))).alias("found"))
+    featured = lines.select("doc_id", "start", "whole", "paragraph", "words", once(features(F.col("words"))).alias("features"))
+    met = featured.select("doc_id", "start", "whole", "paragraph", "words", F.explode("features").alias("feature")).join(F.broadcast(weights), "feature")
+    grouped = met.groupBy("doc_id", "start", "whole", "paragraph", "words").agg(F.sort_array(F.collect_set(F.struct("feature", "weight"))).alias("found"))
     logits = F.aggregate("found", F.array(*[F.lit(float(b)) for b in model.bias]), lambda s, f: F.zip_with(s, f["weight"], lambda a, b: a + b))
     top = F.array_max(logits)
     odds = F.transform(logits, lambda z: F.exp(z - top))
     total = F.aggregate(odds, F.lit(0.0), lambda s, e: s + e)
     named = F.transform(F.slice(odds, 1, len(model.families) - 1), lambda e, i: F.struct((e / total).alias("p"), F.get(F.array(*map(F.lit, model.families)), i).alias("family")))
-    best = grouped.select("doc_id", "paragraph", "words", once(F.array_max(named)).alias("best")).where(F.col("best.p") >= model.threshold)
-    compared = best.select("doc_id", "paragraph", "words", "best.family", F.round("best.p", 6).alias("probability")).join(F.broadcast(notices), "family")
+    best = grouped.select("doc_id", "start", "whole", "paragraph", "words", once(F.array_max(named)).alias("best")).where(F.col("best.p") >= model.threshold)
+    compared = best.select("doc_id", "start", "whole", "paragraph", "words", "best.family", F.round("best.p", 6).alias("probability")).join(F.broadcast(notices), "family")
     share = F.size(F.array_intersect("notice", "words")) / F.size("notice")
-    out = compared.groupBy("doc_id", "paragraph", "words", "family", "probability").agg(F.max(share).alias("similarity"))
-    return out.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "similarity", (F.col("similarity") >= CONFIRMED).alias("confirmed"))
+    out = compared.groupBy("doc_id", "start", "whole", "paragraph", "words", "family", "probability").agg(F.max(share).alias("similarity"))
+    out = out.withColumn("confirmed", F.col("similarity") >= CONFIRMED)
+    row = F.struct("whole", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "similarity", "confirmed")
+    lines_only = F.coalesce(F.bool_or(~F.col("whole") & F.col("confirmed")), F.lit(False)) | (F.bool_or(~F.col("whole")) & ~F.bool_or(F.col("whole") & F.col("confirmed")))
+    per_block = out.groupBy("doc_id", "start", "family").agg(F.collect_list(row).alias("rows"), lines_only.alias("lines_only")).withColumnRenamed("family", "of")
+    found = per_block.select("doc_id", "lines_only", F.inline("rows")).where(F.col("whole") != F.col("lines_only"))
+    return found.select("doc_id", "paragraph", "family", "probability", "similarity", "confirmed")

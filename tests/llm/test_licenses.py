@@ -43,3 +43,18 @@ def test_odd_and_no_rows(spark):
     found = rows_of(licenses.licence_paragraphs(docs.unionByName(extra, allowMissingColumns=True)), "doc_id", "family", "similarity")
     assert sorted(found, key=repr) == [(50, "mit", 1.0), (None, "mit", 1.0)] and set(CLASHING) <= set(docs.columns)
     assert licenses.licence_paragraphs(no_documents(spark)).count() == 0
+
+
+WRAPPED = [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction", "mit"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:", "bsd"),
+    ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.", "mit"),
+    ("This program is free software; you may redistribute it\nand/or modify it under the terms of the GNU General\nPublic License", "gpl"),
+]
+
+
+def test_wrapped_notices_and_paraphrases(spark):
+    filler = [r.text for r in table(spark, SF, "documents").limit(60).collect()]
+    rows = [(i, f"some words before\n\n{t}\n \nmore text\nafter it") for i, (t, _) in enumerate(WRAPPED)] + [(1000 + i, t) for i, t in enumerate(filler)]
+    found = rows_of(licenses.licence_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "paragraph", "family", "confirmed")
+    assert sorted(r for r in found if r[0] < 1000) == [(i, 2, f, True) for i, (_, f) in enumerate(WRAPPED)]
