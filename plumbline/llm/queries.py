@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, contamination, licenses, lm_mixing, multi_index, quality, warc
+from plumbline.llm import bpe, chat_format, contamination, licenses, lm_mixing, multi_index, quality, warc
 from plumbline.llm.ngram_join import jaccard_components
 from plumbline.llm.packing import packed
 from plumbline.llm.substring_dedup import repeated_passages
@@ -87,6 +87,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text through a table of distinct words, and the text that they decode to."""
+    return bpe.digests(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"))))
+
+
 ORACLES["op4_chat_format"] = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
