@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat_format, contamination, licenses, lm_mixing, multi_index, quality, warc
+from plumbline.llm import bpe, chat_format, contamination, licenses, lm_mixing, merkle, multi_index, quality, warc
 from plumbline.llm.ngram_join import jaccard_components
 from plumbline.llm.packing import packed
 from plumbline.llm.substring_dedup import repeated_passages
@@ -93,6 +93,12 @@ def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"))))
 
 
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether the proof holds after tampering with a third of them."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op4_chat_format"] = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
