@@ -18,7 +18,7 @@ import json
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.ship import ship
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 LEAST_BLOCKS = 24
 BLOCKS_A_RANGE = 3  # a range gets about as many bytes of words as so many blocks send
 _SPECIAL = "\udcff"  # before a special token in the word table; no text holds it
@@ -93,7 +93,8 @@ class Coder:
         self.split = regex.compile(SAME_SPLIT).findall if known else None
         self.unknown = re.compile("|".join(["[^\x00-ɏ]", *names]))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = [self.tokenizer.id_to_token(i) for i in range(size)]
+        pieces = [self.tokenizer.id_to_token(i) for i in range(size)]
+        self.pieces = pa.array([f"{p} " if p is not None else "" for p in pieces] + [""], pa.large_string())
 
     def words(self, text: str) -> list[str]:
         """The text's words after normalising, in order; special tokens with a mark before them."""
@@ -114,6 +115,11 @@ class Coder:
             return [self.special[word[1:].decode()]]
         return [token.id for token in self.model.tokenize("".join(map(_LETTER.__getitem__, word)))]
 
+    def text(self, ids: np.ndarray) -> str:
+        """The pieces of the ids, one space between them: a gather of the piece table's rows."""
+        found = self.pieces.take(pa.array(np.minimum(ids, len(self.pieces) - 1))).buffers()[2]
+        return found.to_pybytes().decode()[:-1] if found is not None else ""
+
 
 def coder_of(path: str) -> Coder:
     """One coder a worker process and file."""
@@ -125,7 +131,7 @@ def coder_of(path: str) -> Coder:
 class Block:
     """A block's documents as numbers of its distinct words, which are dealt to ranges by their hash."""
 
-    def __init__(self, texts: list[str | None], coder: Coder, ranges: int):
+    def __init__(self, texts: Iterable[str | None], coder: Coder, ranges: int):
         number: defaultdict[str, int] = defaultdict()
         number.default_factory = number.__len__
         self.numbers = []
@@ -134,32 +140,50 @@ class Block:
             self.numbers.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         self.words = [w.encode("utf-8", "surrogateescape") for w in number]
         self.part = np.fromiter((zlib.crc32(w) % ranges for w in self.words), np.int32, len(self.words))
-        self.order = np.argsort(self.part, kind="stable")  # words by range, then by number
+        self.order = np.array(sorted(range(len(self.words)), key=self.words.__getitem__), np.int64)
+        self.order = self.order[np.argsort(self.part[self.order], kind="stable")]  # words by range, then by bytes
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
         edges = np.flatnonzero(np.diff(self.part[self.order], prepend=-1, append=-1))
         for lo, hi in zip(edges[:-1], edges[1:]):
             yield int(self.part[self.order[lo]]), _END.join([self.words[i] for i in self.order[lo:hi]])
 
-    def ids(self, answers: list[tuple[int, bytes, bytes]]) -> list[bytes]:
-        """Each document's ids as little-endian 32-bit values, from (range, sizes, ids) of all its ranges."""
-        answers = sorted(answers)
-        size, first = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
-        size[self.order] = np.frombuffer(b"".join(a[1] for a in answers), "<u4")
+    def ids(self, answers: list[tuple[int, bytes, bytes]]) -> Iterator[np.ndarray]:
+        """Each document's ids, from (range, sizes, ids) of all ranges that the block asked."""
+        size, flat = np.zeros(len(self.words), np.int64), []
+        edges = np.flatnonzero(np.diff(self.part[self.order], prepend=-1, append=-1))
+        for lo, hi, (_, sizes, ids) in zip(edges[:-1], edges[1:], sorted(answers)):
+            size[self.order[lo:hi]] = narrow(sizes, hi - lo)
+            flat.append(narrow(ids, int(size[self.order[lo:hi]].sum())))
+        flat = np.concatenate([np.zeros(0, "<u4"), *flat]).astype("<u4")
+        first = np.zeros(len(self.words), np.int64)
         first[self.order] = np.cumsum(size[self.order]) - size[self.order]
-        flat = np.frombuffer(b"".join(a[2] for a in answers), "<u4")
-        out = []
         for words in self.numbers:
             n = size[words]
             at = np.repeat(first[words] - (np.cumsum(n) - n), n)
             at += np.arange(len(at))
-            out.append(flat[at].tobytes())
-        return out
+            yield flat[at]
+
+
+def narrowed(values: np.ndarray) -> bytes:
+    """Values in as few bytes each as the largest needs, 1, 2 or 4; ``narrow`` reads them back, told their number."""
+    most = int(values.max()) if len(values) else 0
+    return values.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
-def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def narrow(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // count}") if count else np.zeros(0, "<u4")
+
+
+def some_at_a_time(column: pa.ChunkedArray, rows: int = 256) -> Iterator[str | None]:
+    for lo in range(0, len(column), rows):
+        yield from column.slice(lo, rows).to_pylist()
+
+
+def encoded(docs: DataFrame, tokenizer: str | None = None, with_text: bool = False) -> DataFrame:
     """(doc_id, ids): the token ids of each row of ``docs`` (doc_id, text), as little-endian unsigned 32-bit values.
 
+    ``with_text`` adds what they decode to, as ``decoded`` does, in the same pass.
     Special tokens are not added; those that stand in a text are recognised. A null or empty text has no
     ids. Repeated rows and ids, null ids and very long texts or words each give their row; other columns
     are ignored; an empty table gives none. Rows are dealt by id and text: a group of more than a block's
@@ -174,10 +198,11 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     block = F.pmod(F.xxhash64(F.lit(12), "doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
     dealt = docs.select(block, F.col("doc_id").cast("long").alias("doc_id"), "text")
 
+    schema = _TEXT if with_text else _OUT
+
     def ask(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        rows = [(block, *r) for r in Block(table["text"].to_pylist(), coder_of(path), ranges).requests()]
-        return _rows(rows, _WORDS)
+        return _rows([(block, *r) for r in Block(some_at_a_time(table["text"]), coder_of(path), ranges).requests()], _WORDS)
 
     def encode(table: pa.Table) -> pa.Table:
         coder, seen, rows = coder_of(path), {}, []
@@ -189,19 +214,37 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                     ids = seen[word] = np.array(coder.ids(word), "<u4").tobytes()
                 found.append(ids)
             sizes = np.fromiter(map(len, found), "<u4", len(found)) // 4
-            rows.append((block, part, sizes.astype("<u4").tobytes(), b"".join(found)))
+            rows.append((block, part, narrowed(sizes), narrowed(np.frombuffer(b"".join(found), "<u4"))))
         return _rows(rows, _IDS)
 
     def place(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(table):
-            return _rows([], _OUT)
-        found = list(zip(*(answers[c].to_pylist() for c in ("part", "sizes", "ids"))))
-        ids = Block(table["text"].to_pylist(), coder_of(path), ranges).ids(found)
-        return pa.Table.from_arrays([table["doc_id"].cast(pa.int64()), pa.array(ids, pa.binary())], schema=_OUT)
+        coder = coder_of(path)
+        block = Block(some_at_a_time(table["text"]), coder, ranges)
+        at, doc_ids = 0, table["doc_id"]
+        del table
+        found, ids, texts, out = list(zip(*(answers[c].to_pylist() for c in ("part", "sizes", "ids")))), [], [], []
+
+        def flush() -> None:
+            nonlocal at
+            columns = [doc_ids.slice(at, len(ids)).combine_chunks(), pa.array(ids, pa.binary())] + [pa.array(texts, pa.string())] * with_text
+            out.append(pa.Table.from_arrays(columns, schema=schema))
+            at += len(ids)
+            ids.clear()
+            texts.clear()
+
+        for values in block.ids(found):
+            ids.append(values.tobytes())
+            if with_text:
+                texts.append(coder.text(values))
+            if len(ids) == 256:
+                flush()
+        flush()
+        return pa.concat_tables(out)
 
     asked = dealt.groupBy("block").applyInArrow(ask, "block int, part int, words binary")
     table = asked.groupBy("part").applyInArrow(encode, "block int, part int, sizes binary, ids binary")
-    return dealt.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(place, "doc_id long, ids binary")
+    out = "doc_id long, ids binary" + ", text string" * with_text
+    return dealt.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(place, out)
 
 
 def decoded(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -213,14 +256,10 @@ def decoded(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def join(batches):
-        pieces = coder_of(path).pieces
-        table = pa.array([f"{p} " if p is not None else "" for p in pieces] + [""], pa.large_string())
+        coder = coder_of(path)
         for batch in batches:
-            texts = []
-            for ids in batch.column(1).to_pylist():
-                at = np.minimum(np.frombuffer(ids or b"", "<u4"), len(pieces))
-                texts.append(b"".join(x for x in (table.take(pa.array(at)).buffers()[2],) if x is not None)[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary()).cast(pa.string())], schema=_TEXT)
+            texts = [coder.text(np.frombuffer(ids or b"", "<u4")) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=_TEXT)
 
     return rows.select(F.col("doc_id").cast("long"), "ids").mapInArrow(join, "doc_id long, ids binary, text string")
 

@@ -90,7 +90,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text through a table of distinct words, and the text that they decode to."""
-    return bpe.digests(bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"))))
+    return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), with_text=True))
 
 
 @query

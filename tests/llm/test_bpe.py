@@ -32,6 +32,7 @@ def same(df, found, library):
 def test_odd_documents(spark, library):
     docs = odd_documents(spark)
     same(docs, bpe.digests(bpe.decoded(bpe.encoded(docs))), library)
+    same(docs, bpe.digests(bpe.encoded(docs, with_text=True)), library)
 
 
 def test_empty_table(spark):
