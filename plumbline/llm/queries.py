@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat_format, contamination, licenses, lm_mixing, merkle, multi_index, quality, warc
+from plumbline.llm import bpe, chat_format, contamination, licenses, lm_mixing, merkle, multi_index, prefix_trie, quality, warc
 from plumbline.llm.ngram_join import jaccard_components
 from plumbline.llm.packing import packed
 from plumbline.llm.substring_dedup import repeated_passages
@@ -87,6 +87,17 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the conversations, rebuilt so that families share their first turns.
+
+    ``n_convs`` counts members, ``n_leaves`` childless nodes of the subtree; ``saved_tokens`` is the sum over
+    the subtree of each node's (n_convs - 1) times the code points of its last text; ``ends_sha256`` is the digest of the
+    comma-joined ids of members that end at the node.
+    """
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text through a table of distinct words, and the text that they decode to."""
