@@ -208,7 +208,7 @@ def coordinates(rows: DataFrame, docs: DataFrame, shard_ids: int = SHARD_IDS) ->
     n = docs.count()
     shards = max(1, -(-n // shard_ids))
     merged = stored(containers(docs.select(group_of("lang"), F.col("doc_id").cast("long").alias("doc_id")), shards), "manifest-ids")
-    once = rows.groupBy("grp", "doc_id", "leaf", "other").agg(F.count("*").alias("copies"))
+    once = stored(rows.groupBy("grp", "doc_id", "leaf", "other").agg(F.count("*").alias("copies")), "manifest-rows")
     ids = once.groupBy("grp", "doc_id").agg(F.count("*").alias("kinds"))
     shared = ids.where("kinds > 1").select("grp", "doc_id", F.lit(True).alias("tied"))
     once = once.withColumn("id_", F.struct("doc_id"))  # a struct is never null, so null ids join as others do
