@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from plumbline.bindings.common import Registry, table
 from plumbline.functions import scalars
-from plumbline.operators import aggregates, joins, ordered
+from plumbline.operators import aggregates, intervals, joins, ordered
 from plumbline.plans import reallocation
 
 R = Registry()
@@ -194,6 +194,35 @@ def running_quantity(spark, sf):
     return ordered.running_total(daily, ["l_suppkey"], [F.col("l_shipdate").asc()], "quantity", "running")
 
 
+@R.bind(
+    "interval_pairs",
+    """with w as (
+           select l_suppkey, l_orderkey, l_linenumber, l_returnflag,
+                  datediff('day', timestamp '1970-01-01', l_shipdate) as lo,
+                  case l_linenumber when 1 then 45 else 1 + cast(l_quantity as bigint) % 9 end as days
+           from lineitem
+       )
+       select a.l_suppkey, a.l_orderkey as returned_order, a.l_linenumber as returned_line,
+              b.l_orderkey as kept_order, b.l_linenumber as kept_line,
+              least(a.lo + a.days, b.lo + b.days) - greatest(a.lo, b.lo) as days
+       from w as a join w as b on a.l_suppkey = b.l_suppkey and a.lo < b.lo + b.days and b.lo < a.lo + a.days
+       where a.l_returnflag = 'R' and b.l_returnflag = 'A'""",
+)
+def interval_pairs(spark, sf):
+    """A supplier's lines that were sent back, against its lines that were kept, where their days on the way meet."""
+    day = F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint")
+    days = F.when(F.col("l_linenumber") == 1, 45).otherwise(F.col("l_quantity").cast("bigint") % 9 + 1)
+    lines = table(spark, sf, "lineitem").select(
+        "l_suppkey", "l_returnflag", "l_orderkey", "l_linenumber", day.alias("lo"), (day + days).alias("hi")
+    )
+
+    def named(flag, name):
+        names = {"l_orderkey": f"{name}_order", "l_linenumber": f"{name}_line"}
+        return lines.where(F.col("l_returnflag") == flag).drop("l_returnflag").withColumnsRenamed(names)
+
+    return intervals.interval_pairs(named("R", "returned"), named("A", "kept"), ["l_suppkey"], "lo", "hi", "days")
+
+
 @R.bind(
     "integral_edges",
     """select l_suppkey, cast(sum(cast(l_quantity as bigint)) as bigint) as headcount, count(*) as n
