@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.operators.grid import bounded_values, distinct_values
 from plumbline.operators.joins import tag, with_scalar
-from plumbline.operators.ordered import running_total, slices_for
-from plumbline.session import cut
+from plumbline.operators.selection import order_statistics
 
 # A basket of up to this many indicators is counted as the bits of one long.
 MAX_BITS = 62
@@ -117,27 +117,22 @@ def headline(scorecard: DataFrame, score: str = "score") -> DataFrame:
 
 
 def quantiles(df: DataFrame, col: str, qs: Sequence[float]) -> DataFrame:
-    """Exact, interpolated quantiles: rows (q, value).
+    """Exact, interpolated quantiles: rows (q, value); none if there is no value.
 
-    From the running total of a value histogram, which combines on the map side, so no task
-    holds all values, as Spark's exact percentile aggregate would.
+    By selection (``selection.order_statistics``): a few passes of counts and sketches, so values are
+    neither sorted nor shuffled. The passes run when this is called.
     """
-    hist = cut(df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n")))
-    total = hist.agg(F.sum("_n").alias("_total"))
-    order = [F.col("_v").asc()]
-    ranked = with_scalar(running_total(hist, [], order, "_n", "_hi", slices_for(hist, [])), total)
-    wanted = F.explode(F.array(*[F.lit(float(q)) for q in qs]))
-    spot = F.col("q") * (F.col("_total") - 1)
-    return (
-        ranked.withColumn("q", wanted)
-        .groupBy("q")
-        .agg(
-            F.min(F.when(F.col("_hi") > F.floor(spot), F.col("_v"))).alias("_a"),
-            F.min(F.when(F.col("_hi") > F.ceil(spot), F.col("_v"))).alias("_b"),
-            F.first(spot - F.floor(spot)).alias("_f"),
-        )
-        .select("q", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value"))
-    )
+
+    def spots(n: int) -> list[tuple[int, int, float]]:
+        at = [float(q) * (n - 1) for q in qs]
+        return [(math.floor(s), math.ceil(s), s - math.floor(s)) for s in at] if n else []
+
+    n, found = order_statistics(df, col, lambda n: [k for low, high, _ in spots(n) for k in (low, high)])
+    kind = df.schema[col].dataType
+    schema = T.StructType([T.StructField("q", T.DoubleType()), T.StructField("_a", kind), T.StructField("_b", kind), T.StructField("_f", T.DoubleType())])
+    rows = [(float(q), found[low], found[high], f) for q, (low, high, f) in zip(qs, spots(n))]
+    spark = df.sparkSession
+    return spark.createDataFrame(rows, schema).select("q", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("value"))
 
 
 def quantile_cutoff(df: DataFrame, col: str, q: float, out: str = "cutoff") -> DataFrame:

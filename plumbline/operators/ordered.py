@@ -4,18 +4,23 @@ A plain window puts one whole group into one task. That is right while groups ar
 small. By default the groups are counted first; where one is too large, or with ``slices`` set, the same results come from a range-partitioned order instead: each
 slice is scanned on its own, and one short row per slice carries the total or value across the
 slice borders. The slices are cut reliably first, so that a lost executor cannot move a border.
+
+Rows of equal order are told apart by a hash of the whole row, and equal rows by the partition they come
+from, so a value that most rows share is dealt over many slices like any other. Which of several
+rows of equal order comes first is as open as in a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.session import cut
 
 _START, _HERE = Window.unboundedPreceding, Window.currentRow
 MAX_GROUP_ROWS = 1_000_000
+DIGITS = 12  # decimal places that sums of doubles keep
 
 
 def slices_for(df: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS) -> int | None:
@@ -33,8 +38,19 @@ def _slices(df: DataFrame, keys: Sequence[str], slices: int | str | None) -> int
 
 
 def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[Column], slices: int) -> DataFrame:
-    ranged = df.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
-    return cut(ranged.withColumn("_slice", F.spark_partition_id()))
+    tie = [F.xxhash64(*df.columns), F.spark_partition_id()]
+    told = df.withColumns({"_tie": tie[0], "_from": tie[1]})
+    ranged = told.repartitionByRange(slices, *[F.col(k) for k in keys], *order, "_tie", "_from")
+    return cut(ranged.drop("_tie", "_from").withColumn("_slice", F.spark_partition_id()))
+
+
+def _summable(df: DataFrame, qty: str) -> tuple[Column, str]:
+    """``qty`` as it is summed, and its type. Fractions are summed as decimals of ``DIGITS`` places, so that a total
+    does not depend on the order of its parts."""
+    kind = df.schema[qty].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.col(qty).cast(f"decimal(38,{DIGITS})"), "double"
+    return F.col(qty), ""
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, str]) -> DataFrame:
@@ -56,24 +72,27 @@ def running_total(
 ) -> DataFrame:
     """Inclusive running sum of ``qty`` along ``order`` within each group of ``keys``.
 
-    In slices, sums of doubles are added in another order, so their last digits may differ."""
+    Doubles are read to 12 decimal places and summed as decimals, so slices give the same digits; sums beyond
+    26 digits before the point are an error."""
     slices = _slices(df, keys, slices)
+    value, kind = _summable(df, qty)
+    total = (lambda c: c.cast(kind)) if kind else (lambda c: c)
     if slices is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(_START, _HERE)
-        return df.withColumn(out, F.sum(qty).over(w))
+        return df.withColumn(out, total(F.sum(value).over(w)))
     rows = _sliced(df, keys, order, slices)
     local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(_START, _HERE)
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(_START, -1)
     carried = (
         rows.groupBy(*keys, "_slice")
-        .agg(F.sum(qty).alias("_total"))
+        .agg(F.sum(value).alias("_total"))
         .withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0)))
         .drop("_total")
     )
     return (
-        rows.withColumn("_local", F.sum(qty).over(local))
+        rows.withColumn("_local", F.sum(value).over(local))
         .join(carried, [*keys, "_slice"])
-        .withColumn(out, F.col("_local") + F.col("_before"))
+        .withColumn(out, total(F.col("_local") + F.col("_before")))
         .select(*df.columns, out)
     )
 
