@@ -234,23 +234,28 @@ def licence_paragraphs(docs: DataFrame) -> DataFrame:
     lines = paragraphs(docs)
     # Lines of a bounded share of the documents, so that tasks have no more to send than is taken.
     some = paragraphs(hashed_share(docs, "doc_id", LINES))
-    sample = some.select("words").where("size(words) between 3 and 200").orderBy(F.xxhash64("words"), "words").limit(LINES).collect()
+    sample = some.select("words").where("size(words) between 3 and 200").distinct().orderBy(F.xxhash64("words"), "words").limit(LINES).collect()
     model = trained([r.words for r in sample])
     weights = spark.createDataFrame(list(model.weights.items()), "feature string, weight array<double>")
     notices = spark.createDataFrame([(f, sorted(set(_words(t)))) for f, ts in NOTICES.items() for t in ts], "family string, notice array<string>")
-    # Bounded by the notices: some thousand features, some dozen notices.
-    featured = lines.select("doc_id", "start", "whole", "paragraph", "words", once(features(F.col("words"))).alias("features"))
-    met = featured.select("doc_id", "start", "whole", "paragraph", "words", F.explode("features").alias("feature")).join(F.broadcast(weights), "feature")
-    grouped = met.groupBy("doc_id", "start", "whole", "paragraph", "words").agg(F.sort_array(F.collect_set(F.struct("feature", "weight"))).alias("found"))
+    # Bounded by the notices: some thousand features, some dozen notices, some hundred words of them. A paragraph
+    # goes on as the hash of its words, its features that have a weight, and its words that notices have.
+    of_notices = sorted({w for ts in NOTICES.values() for t in ts for w in _words(t)})
+    weighed = once(F.filter(features(F.col("words")), lambda f: f.isin(*model.weights)))
+    held = F.array_distinct(F.filter("words", lambda w: w.isin(*of_notices)))
+    featured = lines.select("doc_id", "start", "whole", "paragraph", "words", weighed.alias("features")).where("size(features) > 0")
+    featured = featured.select("doc_id", "start", "whole", "paragraph", F.xxhash64("words").alias("text"), once(held).alias("held"), "features")
+    met = featured.select("doc_id", "start", "whole", "paragraph", "text", "held", F.explode("features").alias("feature")).join(F.broadcast(weights), "feature")
+    grouped = met.groupBy("doc_id", "start", "whole", "paragraph", "text").agg(F.sort_array(F.collect_set(F.struct("feature", "weight"))).alias("found"), F.first("held").alias("held"))
     logits = F.aggregate("found", F.array(*[F.lit(float(b)) for b in model.bias]), lambda s, f: F.zip_with(s, f["weight"], lambda a, b: a + b))
     top = F.array_max(logits)
     odds = F.transform(logits, lambda z: F.exp(z - top))
     total = F.aggregate(odds, F.lit(0.0), lambda s, e: s + e)
     named = F.transform(F.slice(odds, 1, len(model.families) - 1), lambda e, i: F.struct((e / total).alias("p"), F.get(F.array(*map(F.lit, model.families)), i).alias("family")))
-    best = grouped.select("doc_id", "start", "whole", "paragraph", "words", once(F.array_max(named)).alias("best")).where(F.col("best.p") >= model.threshold)
-    compared = best.select("doc_id", "start", "whole", "paragraph", "words", "best.family", F.round("best.p", 6).alias("probability")).join(F.broadcast(notices), "family")
-    share = F.size(F.array_intersect("notice", "words")) / F.size("notice")
-    out = compared.groupBy("doc_id", "start", "whole", "paragraph", "words", "family", "probability").agg(F.max(share).alias("similarity"))
+    best = grouped.select("doc_id", "start", "whole", "paragraph", "text", "held", once(F.array_max(named)).alias("best")).where(F.col("best.p") >= model.threshold)
+    compared = best.select("doc_id", "start", "whole", "paragraph", "text", "held", "best.family", F.round("best.p", 6).alias("probability")).join(F.broadcast(notices), "family")
+    share = F.size(F.array_intersect("notice", "held")) / F.size("notice")
+    out = compared.groupBy("doc_id", "start", "whole", "paragraph", "text", "family", "probability").agg(F.max(share).alias("similarity"))
     out = out.withColumn("confirmed", F.col("similarity") >= CONFIRMED)
     row = F.struct("whole", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "similarity", "confirmed")
     lines_only = F.coalesce(F.bool_or(~F.col("whole") & F.col("confirmed")), F.lit(False)) | (F.bool_or(~F.col("whole")) & ~F.bool_or(F.col("whole") & F.col("confirmed")))
