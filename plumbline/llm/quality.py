@@ -130,7 +130,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, latent: int
     """Voters from at most ``sample`` labelled rows that are not held out.
 
     Rows of ``labels`` (doc_id, quality) without an id or a quality take no part; of several for one
-    id the highest counts. Without labelled rows every score is 0.5.
+    id the highest counts, and of several texts of one id the one whose hash is least. Without labelled
+    rows every score is 0.5.
     """
     ship(docs.sparkSession)
     eligible = (
@@ -149,23 +150,31 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, latent: int
                 rows = [_packed(x) for x in terms(some.column("text"))]
                 yield pa.RecordBatch.from_pydict({"doc_id": some.column("doc_id"), "quality": some.column("quality"), "row": pa.array(rows, pa.binary())})
 
-    found = of_sample.select("doc_id", "quality", "text").mapInArrow(compute, "doc_id long, quality int, row binary").collect()
-    found = sorted(found, key=lambda r: (r.doc_id, r.row))[: 2 * sample]
+    one_each = of_sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = sorted(one_each.mapInArrow(compute, "doc_id long, quality int, row binary").collect(), key=lambda r: r.doc_id)
     if not found:
         return Voters(np.ones(TERMS, np.float32), np.zeros((TERMS, latent), np.float32), np.zeros((0, latent), np.float32), np.zeros(0), 0.5)
-    rows = np.stack([_unpacked(r.row) for r in found])
     scale = inverse_frequencies(docs)
-    rows *= scale
-    weighted = unit(rows)
-    del rows
+
+    def weighted():
+        """The sample's weighted unit rows, a block at a time: stored sparse, a few hundred terms each."""
+        for lo in range(0, len(found), BLOCK):
+            rows = np.stack([_unpacked(r.row) for r in found[lo : lo + BLOCK]])
+            rows *= scale
+            yield unit(rows)
+
     # Truncated decomposition by subspace iteration.
     axes = np.random.Generator(np.random.PCG64(9)).standard_normal((TERMS, latent + 8)).astype(np.float32)
     for _ in range(8):
-        axes, _ = np.linalg.qr(weighted.T @ (weighted @ axes))
-    _, _, turn = np.linalg.svd(weighted @ axes, full_matrices=False)
+        product = np.zeros_like(axes)
+        for rows in weighted():
+            product += rows.T @ (rows @ axes)
+        axes, _ = np.linalg.qr(product)
+    _, _, turn = np.linalg.svd(np.concatenate([rows @ axes for rows in weighted()]), full_matrices=False)
     axes = (axes @ turn.T[:, :latent]).astype(np.float32)
+    vectors = unit(np.concatenate([rows @ axes for rows in weighted()]))
     labels_of = np.array([float(r.quality > 0) for r in found])
-    return Voters(scale, axes, unit(weighted @ axes), labels_of, float(labels_of.mean()))
+    return Voters(scale, axes, vectors, labels_of, float(labels_of.mean()))
 
 
 def _voted(voters, texts: pa.Array) -> np.ndarray:
