@@ -63,7 +63,8 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, n
     ``docs``: (doc_id, text); ``items``: (item_id, text). Texts of fewer than n words are one shingle,
     their whole sequence, which only equal short texts share. Null, empty and wordless texts contain
     nothing and are in nothing. Rows without an id take no part. Rows that repeat an id with another
-    text count as one document (or item), its best share is returned. Other columns are ignored.
+    text count as one document (or item), its best share is returned, of equal shares the longer. Other columns
+    are ignored.
     """
     known = items.select(F.col("item_id").cast("long").alias("item_id"), once(words(F.col("text"))).alias("w")).where("item_id is not null and size(w) > 0")
     known = stored(known.select("item_id", shingles(F.col("w"), n).alias("item_shingles"), shingle_hashes(F.col("w"), n).alias("h")).distinct(), "items")
@@ -88,7 +89,8 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, n
     count = once(F.size(F.array_intersect("item_shingles", "doc_shingles")).cast("long"))
     shared = own.select("doc_id", "item_id", F.size("item_shingles").cast("long").alias("n_shingles"), count.alias("n_shared"))
     best = shared.where(F.col("n_shared") * 100 >= F.col("n_shingles") * percent)
-    return best.groupBy("doc_id", "item_id").agg(F.max_by("n_shingles", F.col("n_shared") / F.col("n_shingles")).alias("n_shingles"), F.max("n_shared").alias("n_shared"))
+    both, rank = F.struct("n_shingles", "n_shared"), F.struct(F.col("n_shared") / F.col("n_shingles"), "n_shared")
+    return best.groupBy("doc_id", "item_id").agg(F.max_by(both, rank).alias("best")).select("doc_id", "item_id", "best.*")
 
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -57,3 +57,11 @@ def test_empty_tables(spark):
     assert contamination.contained_items(no_documents(spark), items).count() == 0
     assert contamination.contained_items(odd_documents(spark), items.where("false")).count() == 0
     assert contamination.without_items(odd_documents(spark), items.where("false")).count() == 20
+
+
+def test_counts_of_a_repeated_item_id_belong_together(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    items = spark.createDataFrame([(1, words("a", 14)), (1, words("b", 104)), (2, words("c", 14)), (2, words("d", 104))], "item_id long, text string")
+    docs = spark.createDataFrame([(7, words("a", 14) + " , " + words("b", 95)), (8, words("c", 14) + " , " + words("d", 104))], "doc_id long, text string")
+    found = rows_of(contamination.contained_items(docs, items), "doc_id", "item_id", "n_shingles", "n_shared")
+    assert sorted(found) == [(7, 1, 10, 10), (8, 2, 100, 100)]
