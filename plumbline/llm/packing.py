@@ -48,8 +48,8 @@ class Encoder:
     """Token ids of whole texts by a byte-level ``tokenizers`` file.
 
     The file's vocabulary also drives a faster encoder, for texts of characters below U+0250 that hold
-    no special token; it is used only if the merges are in the order of the ids. Other texts go to the
-    tokenizer itself. Both give the same ids.
+    no special token. It is used only for a plain file (``_plain``) whose merges are in the order of the
+    ids; other files and texts go to the tokenizer itself. Both give the same ids.
     """
 
     def __init__(self, path: str):
@@ -57,6 +57,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         spec = json.loads(Path(path).read_text())
         vocabulary, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -65,7 +67,7 @@ class Encoder:
         pairs = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
         in_order = [vocabulary[p] for p in pairs] == list(range(256, 256 + len(pairs)))
         self.fast = None
-        if in_order and spec["model"]["type"] == "BPE":
+        if in_order and _plain(spec):
             ranks = {bytes(letter[c] for c in token): i for token, i in vocabulary.items() if token not in self.special}
             self.fast = tiktoken.Encoding("bytes", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
         self.slow_text = re.compile("[^\x00-\u024f]|" + "|".join(map(re.escape, self.special or ["[^\x00-\u024f]"])))
@@ -79,6 +81,14 @@ class Encoder:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
+def _plain(spec: dict) -> bool:
+    """Whether a file does nothing but cut texts by ``CUT`` and merge bytes."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")]
+    bytes_only = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True)
+    return model.get("type") == "BPE" and not any(odd) and spec.get("normalizer") is None and bytes_only
+
+
 def encoder_of(path: str) -> Encoder:
     """One encoder a worker process and file."""
     if path not in _encoders:

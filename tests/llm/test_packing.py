@@ -1,6 +1,8 @@
+import json
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -61,6 +63,25 @@ def test_fast_and_plain_encoder_agree(tokenizer):
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("change", [
+    {"normalizer": {"type": "Lowercase"}},
+    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}},
+    {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}},
+    {"truncation": {"direction": "Right", "max_length": 2, "strategy": "LongestFirst", "stride": 0}},
+])
+def test_other_files_go_to_the_tokenizer(change, tmp_path):
+    from tokenizers import Tokenizer
+
+    spec = json.loads(Path(packing.default_tokenizer()).read_text()) | change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    plain, encoder = Tokenizer.from_file(str(path)), packing.Encoder(str(path))
+    plain.no_truncation()
+    assert (encoder.fast is None) == ("truncation" not in change)
+    for text in ("Hello World", " Two  words\n", "don't", "日本 End"):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_recipe_uses_every_piece_once(seed):
     rng = np.random.default_rng(seed)
