@@ -250,13 +250,44 @@ def led_links(sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("leader", "set_id", "led_by", "shingles").mapInArrow(compare, "a long, b long")
 
 
+def dealt_in_chunks(rest: DataFrame, chunk: int) -> DataFrame:
+    """``rest`` (component, family or null, set_id, n_shingles, shingles) with the ``name`` of each set's chunk.
+
+    A family of more than a chunk is ``divided``; smaller ones, whole, and the sets of no family are dealt
+    together, so that chunks number as shingles do, not as families.
+    """
+    per_family = rest.where("family is not null").groupBy("family").agg(F.ceil(F.sum("n_shingles") / F.lit(chunk)).cast("int").alias("chunks"))
+    rest = rest.join(per_family.where("chunks > 1"), "family", "left")
+    mixed = rest.where("chunks is null").groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(chunk)).cast("int").alias("bins"))
+    rest = rest.join(mixed, "component", "left")
+    own = F.concat_ws("/", F.col("family").cast("string"), F.pmod(F.xxhash64("set_id"), "chunks").cast("string"))
+    shared = F.concat_ws("/", F.lit("mixed"), F.pmod(F.xxhash64(F.coalesce("family", "set_id")), "bins").cast("string"))
+    is_divided = F.col("chunks").isNotNull()
+    return rest.select(
+        "component", "family", "set_id", "shingles", F.when(is_divided, F.col("family")).alias("divided"), F.when(is_divided, own).otherwise(shared).alias("name")
+    )
+
+
+def chunk_pairs(dealt: DataFrame) -> DataFrame:
+    """(component, pair, name, side): the chunks of each pair that meets in a task, itself included (side 0), but
+    for pairs within one divided family."""
+    chunks = dealt.select("component", "divided", "name").distinct()
+    left, right = chunks.alias("l"), chunks.alias("r")
+    wanted = (F.col("l.component") == F.col("r.component")) & (F.col("l.name") <= F.col("r.name"))
+    other = ~(F.col("l.divided").isNotNull() & F.col("l.divided").eqNullSafe(F.col("r.divided")))
+    met = left.join(right, wanted & other).select(F.col("l.component").alias("component"), F.col("l.name").alias("low"), F.col("r.name").alias("high"))
+    sides = F.expr("case when low = high then array(named_struct('name', low, 'side', 0)) else array(named_struct('name', low, 'side', 1), named_struct('name', high, 'side', 2)) end")
+    return met.select("component", F.concat_ws("|", "low", "high").alias("pair"), F.inline(sides))
+
+
 def links_in_clusters(ordered: DataFrame, clusters: DataFrame, percent: int = PERCENT, chunk: int = CHUNK_SHINGLES) -> DataFrame:
     """Links (a, b) between set ids that connect each component within a cluster.
 
     ``clusters``: (node, component) of sets. A cluster of up to ``chunk`` shingles is joined in one
     task. In a larger one each set is first compared with a leader; sets so linked form families, the
-    others a rest. Families and the rest are dealt into chunks, and each pair of chunks is joined in
-    its own task, but for chunks of one family, which need no more links. A family of very many near
+    others a rest. A family of more than a chunk is divided; smaller ones, whole, and the rest are dealt
+    together, so chunks number as shingles do, not as families. Each pair of chunks is joined in its own
+    task, but for chunks of one divided family, which need no more links. A family of very many near
     copies thus meets the rest of its cluster, never itself.
     """
     sets = ordered.join(clusters.withColumnRenamed("node", "set_id"), "set_id")
@@ -267,19 +298,9 @@ def links_in_clusters(ordered: DataFrame, clusters: DataFrame, percent: int = PE
     led = stored(led_links(large, percent), "led")
     families = components(led).withColumnRenamed("node", "set_id").withColumnRenamed("component", "family")
     rest = large.join(families, "set_id", "left")
-    per_family = rest.groupBy("component", "family").agg(F.ceil(F.sum("n_shingles") / F.lit(chunk)).cast("int").alias("chunks"))
-    same = F.col("family").eqNullSafe(F.col("of_family"))
-    dealt = rest.join(per_family.select("component", F.col("family").alias("of_family"), "chunks"), (rest["component"] == per_family["component"]) & same).drop(per_family["component"])
-    dealt = stored(dealt.withColumn("chunk", F.pmod(F.xxhash64("set_id"), "chunks").cast("int")).select("component", "family", "chunk", "set_id", "shingles"), "dealt")
-    name = F.concat_ws("/", F.coalesce(F.col("family").cast("string"), F.lit("rest")), F.col("chunk").cast("string"))
-    chunks = dealt.select("component", "family", name.alias("name")).distinct()
-    left, right = chunks.alias("l"), chunks.alias("r")
-    wanted = (F.col("l.component") == F.col("r.component")) & (F.col("l.name") <= F.col("r.name"))
-    other = ~(F.col("l.family").isNotNull() & F.col("l.family").eqNullSafe(F.col("r.family")))
-    met = left.join(right, wanted & other).select(F.col("l.component").alias("component"), F.col("l.name").alias("low"), F.col("r.name").alias("high"))
-    sides = F.expr("case when low = high then array(named_struct('name', low, 'side', 0)) else array(named_struct('name', low, 'side', 1), named_struct('name', high, 'side', 2)) end")
-    pairs = met.select("component", F.concat_ws("|", "low", "high").alias("pair"), F.inline(sides))
-    in_pairs = dealt.withColumn("name", name).join(pairs, ["component", "name"]).select("component", "pair", "side", "set_id", "family", "shingles")
+    dealt = stored(dealt_in_chunks(rest, chunk), "dealt")
+    pairs = chunk_pairs(dealt)
+    in_pairs = dealt.join(pairs, ["component", "name"]).select("component", "pair", "side", "set_id", "family", "shingles")
 
     def join(table: pa.Table) -> pa.Table:
         names = table["set_id"].to_pylist()

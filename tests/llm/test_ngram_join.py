@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from frames import SF, brute_components, no_documents, odd_documents, rows_of
 from plumbline.llm.components import components
-from plumbline.llm.ngram_join import jaccard_components, one_of_each, tree_join
+from plumbline.llm.ngram_join import chunk_pairs, dealt_in_chunks, jaccard_components, one_of_each, tree_join
 from plumbline.llm.tables import table
 
 
@@ -39,6 +40,23 @@ def test_chains_at_the_threshold(spark):
         assert sorted(rows_of(jaccard_components(docs, chunk=chunk), "doc_id", "n_shingles", "component_id"), key=repr) == expected
 
 
+def test_small_families_share_chunks(spark):
+    """10,000 families of 200 shingles, a large one and single sets in one cluster: chunks number as shingles do."""
+    one = F.lit(1).cast("long").alias("component")
+    small = spark.range(20_000).select(one, F.floor(F.col("id") / 2).alias("family"), F.col("id").alias("set_id"), F.lit(100).alias("n_shingles"))
+    large = spark.range(20_000, 25_000).select(one, F.lit(20_000).cast("long").alias("family"), F.col("id").alias("set_id"), F.lit(100).alias("n_shingles"))
+    alone = spark.range(25_000, 30_000).select(one, F.lit(None).cast("long").alias("family"), F.col("id").alias("set_id"), F.lit(100).alias("n_shingles"))
+    sets = small.unionByName(large).unionByName(alone).withColumn("shingles", F.lit(b""))
+    dealt = dealt_in_chunks(sets, 200_000)
+    assert dealt.count() == 30_000
+    assert dealt.where("family < 20000").groupBy("family").agg(F.count_distinct("name").alias("n")).where("n > 1").count() == 0
+    names = {r.name: r.n for r in dealt.groupBy("name").agg(F.count("*").alias("n")).collect()}
+    assert len(names) <= 3 + 13 and max(names.values()) < 3_000
+    pairs = {r.pair for r in chunk_pairs(dealt).collect()}
+    mixed, own = [x for x in names if x.startswith("mixed")], [x for x in names if not x.startswith("mixed")]
+    assert len(pairs) == len(mixed) * (len(mixed) + 1) // 2 + len(mixed) * len(own)
+
+
 def test_tree_join_on_random_sets():
     rng = np.random.default_rng(3)
     for _ in range(60):
