@@ -46,7 +46,7 @@ GATES = 12
 BLOCK_BYTES = 8 << 20  # of text; all bit inputs of a block's distinct words are held at once
 PACKET_WORDS = 10_000
 STEP_TOKENS = 16
-TOGETHER = 64  # documents a numpy step works on, so that its arrays stay in the cache
+TOGETHER = 128  # documents a numpy step works on, so that its arrays stay in the cache
 STEP_WORDS = 500  # distinct words of a step while first weights are learned
 CONTEXT = 3
 END_HASH = np.uint64(0x5851F42D4C957F2D)
@@ -54,6 +54,7 @@ MATCH_WEIGHTS = (0.9, 0.35, -0.6)  # to begin with: logit of the counts, hits in
 LOW16 = np.uint64(0xFFFF)
 RATE = 0.02
 SHARD_BITS = 16
+ONES = np.ones(INPUTS, np.float32)
 PRIOR = 0.15  # added to the counts of zeros and ones
 END = 10
 ASK = "kind int, block int, part int, words binary, counts binary, followers binary"
@@ -91,12 +92,16 @@ class ByteCode:
             paths.append(path[::-1])
         self.length = np.array([len(p) for p in paths])
         self.first = np.cumsum(self.length) - self.length
-        self.node = np.array([n for p in paths for n, _ in p], np.uint64)
+        self.step = np.array([n for p in paths for n, _ in p], np.uint64) * np.uint64(0xD6E8FEB86659FD93)  # of each inner node
         self.bit = np.array([b for p in paths for _, b in p], np.uint8)
 
 
-def coded_bits(spelled: list[bytes], code: ByteCode) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """For spelled tokens: each one's number of bits; a table slot for every bit and context; the bits; place in the token."""
+def coded_bits(spelled: list[bytes], code: ByteCode, shared: bool = False) -> tuple[np.ndarray, ...]:
+    """For spelled tokens: each one's number of bits; a table slot for every bit and context; the bits; place in the token.
+
+    With ``shared``, for tokens in ascending order: beginnings that a token shares with the one before it have the
+    same contexts and are not worked out again; a fifth array tells for every bit of every token where it stands.
+    """
     size = np.fromiter(map(len, spelled), np.int64, len(spelled))
     text = np.frombuffer(b"".join(spelled), np.uint8)
     first = np.cumsum(size) - size
@@ -116,16 +121,42 @@ def coded_bits(spelled: list[bytes], code: ByteCode) -> tuple[np.ndarray, list[n
     two = b[0] | b[1] << np.uint64(9)
     contexts = [b[0], two, two | b[2] << np.uint64(18), start]
     many = code.length[text]
-    owner = np.repeat(np.arange(len(text)), many)
-    at = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many - code.first[text], many)
-    node, bit = code.node[at], code.bit[at]
+    per_token = np.add.reduceat(many, first)
+    where = ()
+    if shared:
+        new, standing = _new_bytes(text, size, first, place)
+        begins = np.cumsum(many[new]) - many[new]
+        of_byte = begins[np.cumsum(new)[standing] - 1] - (np.cumsum(many) - many)
+        where = ((np.arange(many.sum()) + np.repeat(of_byte, many)).astype(np.int32),)
+        text, place, many, contexts = text[new], place[new], many[new], [c[new] for c in contexts]
+    at = np.arange(many.sum()) + np.repeat(code.first[text] - (np.cumsum(many) - many), many)
+    step, bit = np.take(code.step, at, mode="clip"), np.take(code.bit, at, mode="clip")
     slots = []
     for k, bits in enumerate(TABLE_BITS):
         spread = (contexts[k] + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
         spread ^= spread >> np.uint64(29)
-        mixed = (spread[owner] + node * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xBF58476D1CE4E5B9)
-        slots.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
-    return np.add.reduceat(many, first), slots, bit, np.minimum(place, 3).astype(np.uint8)[owner]
+        mixed = np.repeat(spread, many)
+        mixed += step
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed >>= np.uint64(64 - bits)
+        slots.append(mixed.view(np.int64))
+    return per_token, slots, bit, np.repeat(np.minimum(place, 3).astype(np.uint8), many), *where
+
+
+def _new_bytes(text: np.ndarray, size: np.ndarray, first: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the bytes of tokens in ascending order: which are not part of the beginning shared with the token before,
+    and for each byte the new one that ends the same beginning."""
+    previous = np.concatenate([[0], first[:-1]])
+    same = place < np.repeat(np.concatenate([[0], size[:-1]]), size)
+    other = np.repeat(previous, size) + place
+    same &= text[np.where(same, other, 0)] == text
+    alike = np.minimum.reduceat(np.where(same, len(text), place), first)
+    new = place >= np.repeat(alike, size)
+    by_place = np.argsort(place.astype(np.uint16) if len(text) < 1 << 16 or place.max() < 1 << 16 else place, kind="stable")
+    last_new = np.maximum.accumulate(np.where(new[by_place], np.arange(len(text)), 0))
+    standing = np.empty(len(text), np.int64)
+    standing[by_place] = by_place[last_new]
+    return new, standing
 
 
 def spelled(words: list[bytes]) -> list[bytes]:
@@ -162,10 +193,21 @@ def _bytes_and_code(docs: DataFrame, held_out) -> tuple[int, ByteCode]:
     return found.get(256, 0), ByteCode(histogram)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, ascending; a place of each; of each entry, which it is. (Unlike np.unique's, the sort need not be stable.)"""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    inverse = np.empty(len(values), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], inverse
+
+
 def _block_words(table: pa.Table):
     """Words of a block; its distinct hashes and one word each (sorted by hash); each word's place among them."""
     words = words_of(table["text"], lower=True)
-    keys, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+    keys, at, inverse = _distinct(words.hash)
     return words, keys, at, inverse
 
 
@@ -207,7 +249,7 @@ def _expected(rows: list[tuple]) -> list[bytes]:
     keys = [np.frombuffer(k, np.uint32).astype(np.uint64) << np.uint64(16) for k, _, _ in rows]
     code = np.concatenate([k | np.frombuffer(f, np.uint16) for k, (_, _, f) in zip(keys, rows)])
     count = np.concatenate([_unpacked_counts(c, len(k)) for k, (_, c, _) in zip(keys, rows)])
-    pairs, inverse = np.unique(code, return_inverse=True)
+    pairs, _, inverse = _distinct(code)
     times = np.bincount(inverse, count, len(pairs)).astype(np.int64)
     context = pairs >> np.uint64(16)
     begins = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
@@ -229,7 +271,7 @@ def _match_inputs(words, trains: np.ndarray, answers: np.ndarray) -> tuple[np.nd
     """For all tokens of a block: whether one was expected, whether it came, and the predictors of that."""
     hashes, first = _token_hashes(words)
     at, pairs, _ = _contexts(words, trains)
-    told = answers[np.unique(pairs, return_inverse=True)[1]] if len(at) else np.zeros(0, np.uint32)
+    told = answers[_distinct(pairs)[2]] if len(at) else np.zeros(0, np.uint32)
     came, some = _tag(hashes[at]) == told >> np.uint32(16), told > 0
     expected, hit, logit = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool), np.zeros(len(hashes), np.float32)
     expected[at[some]], hit[at[some]] = True, came[some]
@@ -260,19 +302,17 @@ def _learned(told: DataFrame, code: ByteCode) -> tuple[list[np.ndarray], np.ndar
 
     def count(batches):
         """Sums over the rows of a task, so that one task sends one row for each shard at most."""
-        tables = [np.zeros((2, 1 << bits), np.float32) for bits in TABLE_BITS]
+        tables = [np.zeros(2 << bits) for bits in TABLE_BITS]
         for batch in batches:
             for data, counts in zip(batch.column("data").to_pylist(), batch.column("more").to_pylist()):
                 if data:
                     n_bits, slots, bit, _ = coded_bits(spelled(data.split(b" ")), code)
-                    times = np.repeat(np.frombuffer(counts, np.uint32).astype(np.float32), n_bits)
+                    times = np.repeat(np.frombuffer(counts, np.uint32).astype(np.float64), n_bits)
                     for k in range(INPUTS):
-                        for b in (0, 1):
-                            at = bit == b
-                            tables[k][b] += np.bincount(slots[k][at], times[at], 1 << TABLE_BITS[k]).astype(np.float32)
+                        np.add.at(tables[k], slots[k] + (bit.astype(np.int64) << TABLE_BITS[k]), times)
         for k in range(INPUTS):
             for s in range(shards[k]):
-                piece = tables[k][:, s << SHARD_BITS : (s + 1) << SHARD_BITS]
+                piece = tables[k].reshape(2, -1)[:, s << SHARD_BITS : (s + 1) << SHARD_BITS].astype(np.float32)
                 seen = np.flatnonzero(piece.any(0)).astype(np.uint32)
                 if len(seen):
                     yield pa.RecordBatch.from_pydict({"shard": pa.array([int(base[k]) + s], pa.int32()), "at": [seen.tobytes()], "n": [piece[:, seen].tobytes()]})
@@ -321,25 +361,30 @@ def _learned(told: DataFrame, code: ByteCode) -> tuple[list[np.ndarray], np.ndar
     return shared, weights.reshape(GATES, INPUTS)
 
 
-def _bit_inputs(spelt: list[bytes], code: ByteCode, tables: list[np.ndarray], piece: int = 10_000):
-    """For spelled tokens: each one's number of bits; of every bit the logits against the value it has, and
-    the gate. Worked out for some thousand tokens at a time, which bounds the memory of the steps between."""
-    many, logits, gate = [], [], []
+def _bit_inputs(spelt: list[bytes], code: ByteCode, tables: list[np.ndarray], piece: int = 4_000):
+    """For spelled tokens in ascending order: each one's number of bits; of every bit of a distinct beginning the
+    logits against the value it has, and the gate; for every bit of every token, which of these it is. Worked out
+    for some thousand tokens at a time, which bounds the memory of the steps between."""
+    many, logits, gate, where, done = [], [], [], [], 0
+    pairs = [t.view(np.uint32).ravel() for t in tables]  # the logarithms of both counts, read at once
     for lo in range(0, len(spelt), piece):
-        n_bits, slots, bit, place = coded_bits(spelt[lo : lo + piece], code)
+        n_bits, slots, bit, place, standing = coded_bits(spelt[lo : lo + piece], code, shared=True)
         part = np.empty((len(bit), INPUTS), np.float32)
+        sign = 1 - 2 * bit.astype(np.float32)
         for k in range(INPUTS):
-            logs = np.take(tables[k], slots[k], 0, mode="clip").astype(np.float32)
-            part[:, k] = logs[:, 1] - logs[:, 0]
+            logs = np.take(pairs[k], slots[k], mode="clip").view(np.float16).astype(np.float32).reshape(-1, 2)
+            np.multiply(logs[:, 1] - logs[:, 0], sign, out=part[:, k])
         many.append(n_bits)
-        part *= (1 - 2 * bit.astype(np.float32))[:, None]
         logits.append(part)
         gate.append(gates(place, logs[:, 0] > -0.1, logs[:, 1] > -0.1))
-    return tuple(map(np.concatenate, (many, logits, gate)))
+        where.append(standing + np.int32(done))
+        done += len(bit)
+    return tuple(map(np.concatenate, (many, logits, gate, where)))
 
 
-def _coded_online(token: np.ndarray, first: np.ndarray, bit_first: np.ndarray, logits, gate, weights, match) -> np.ndarray:
+def _coded_online(token: np.ndarray, first: np.ndarray, bit_first: np.ndarray, logits, gate, weights, match, where_bits=None) -> np.ndarray:
     """The cost in nats of each text, whose tokens are token[first[i]:first[i + 1]] (places among distinct tokens).
+    The bits of token t are ``where_bits[bit_first[t]:bit_first[t + 1]]``, places in ``logits``; without it, that range itself.
 
     All texts of the block move on together, ``STEP_TOKENS`` tokens at a time; each has weights of its own.
     """
@@ -382,12 +427,15 @@ def _coded_online(token: np.ndarray, first: np.ndarray, bit_first: np.ndarray, l
             place = np.cumsum(many) - many
             n_bits = bit_first[tokens + 1] - bit_first[tokens]
             ends = np.cumsum(n_bits)
-            at = np.arange(ends[-1], dtype=np.int32) + np.repeat((bit_first[tokens] - (ends - n_bits)).astype(np.int32), n_bits)
+            at = np.arange(ends[-1]) + np.repeat(bit_first[tokens] - (ends - n_bits), n_bits)
+            at = at if where_bits is None else np.take(where_bits, at, mode="clip").astype(np.int64)
             per_doc = np.add.reduceat(n_bits, place)
-            local = np.repeat(np.arange(len(some), dtype=np.int32) * GATES, per_doc)
+            local = np.repeat(np.arange(len(some)) * GATES, per_doc)
             x, slot = np.take(logits, at, 0, mode="clip"), local + np.take(gate, at, mode="clip")
             w = own.reshape(-1, GATES, INPUTS)[some].reshape(-1, INPUTS)
-            z = np.einsum("ij,ij->i", np.take(w, slot, 0, mode="clip"), x)
+            each = np.take(w, slot, 0, mode="clip")
+            each *= x
+            z = each @ ONES
             e = np.exp(np.clip(z, -11, 11, out=z), out=z)  # the odds against what came
             loss = np.log(1 + e)
             cost[some] += np.add.reduceat(loss, np.cumsum(per_doc) - per_doc)
@@ -428,7 +476,7 @@ def scored(docs: DataFrame, held_out=is_held_out) -> DataFrame:
         for part, some in B.by_key_range(keys, parts):
             rows.append((0, block, part, b" ".join(words.word(i) for i in at[some]), counts[some].tobytes(), None))
         _, pairs, learned = _contexts(words, train)
-        pairs, place = np.unique(pairs, return_inverse=True)
+        pairs, _, place = _distinct(pairs)
         times = np.bincount(place, learned, len(pairs)).astype(np.int64)
         shift = np.uint64(parts.bit_length() - 1)
         for part, some in B.by_key_range(pairs, parts):
@@ -482,8 +530,11 @@ def scored(docs: DataFrame, held_out=is_held_out) -> DataFrame:
         tokens = np.insert(inverse, words.first[1:], len(keys))
         first = words.first + np.arange(len(words.first))
         spelt = spelled([words.word(i) for i in at]) + [b"\n"]
-        n_bits, logits, gate = _bit_inputs(spelt, code, shared.value)
-        cost = _coded_online(tokens, first, np.concatenate([[0], np.cumsum(n_bits)]), logits, gate, weights, match)
+        order = sorted(range(len(spelt)), key=spelt.__getitem__)
+        rank = np.empty(len(spelt), np.int64)
+        rank[order] = np.arange(len(spelt))
+        n_bits, logits, gate, where_bits = _bit_inputs([spelt[i] for i in order], code, shared.value)
+        cost = _coded_online(rank[tokens], first, np.concatenate([[0], np.cumsum(n_bits)]), logits, gate, weights, match, where_bits)
         log_known, some = np.log10(known + 0.1)[tokens], (known > 0)[tokens]
         spelled_bytes = np.fromiter(map(len, spelt), np.int64, len(spelt))[tokens]
         rows = zip(

@@ -99,3 +99,18 @@ def test_small_errors_and_short_texts_move_weights():
     assert cost(16) == pytest.approx(16 * still, rel=1e-5)
     assert cost(32) < 32 * still * 0.9999  # the second step has learned from the first
     assert cost(n) < n * still * 0.7
+
+
+def test_shared_beginnings_have_the_inputs_of_whole_words():
+    rng = np.random.default_rng(7)
+    words = {bytes(rng.choice(list(b"aabc\xc3"), int(n)).tolist()) for n in rng.integers(1, 9, 3000)} | {b"x" * 70_000, b"x" * 70_001}
+    spelt = sorted([*lm_mixing.spelled(list(words)), b"\n"])
+    code = lm_mixing.ByteCode(np.bincount(np.frombuffer(b"".join(spelt), np.uint8), minlength=256))
+    tables = [rng.normal(size=(1 << bits, 2)).astype(np.float16) for bits in lm_mixing.TABLE_BITS]
+    many, logits, gate, where = lm_mixing._bit_inputs(spelt, code, tables, piece=500)
+    n_bits, slots, bit, place = lm_mixing.coded_bits(spelt, code)
+    logs = [t[s].astype(np.float32) for t, s in zip(tables, slots)]
+    plain = np.stack([(x[:, 1] - x[:, 0]) * (1 - 2 * bit.astype(np.float32)) for x in logs], 1)
+    assert (many == n_bits).all() and len(logits) < 0.6 * len(plain)
+    assert (logits[where] == plain).all()
+    assert (gate[where] == lm_mixing.gates(place, logs[3][:, 0] > -0.1, logs[3][:, 1] > -0.1)).all()
