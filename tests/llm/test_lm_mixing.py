@@ -114,3 +114,73 @@ def test_shared_beginnings_have_the_inputs_of_whole_words():
     assert (many == n_bits).all() and len(logits) < 0.6 * len(plain)
     assert (logits[where] == plain).all()
     assert (gate[where] == lm_mixing.gates(place, logs[3][:, 0] > -0.1, logs[3][:, 1] > -0.1)).all()
+
+
+def some_texts(rng, n_words=300, n_texts=40):
+    """Spelled words, ascending, the end after them; texts as places among these; where the texts begin."""
+    words = sorted({bytes(rng.choice(list(b"aabc\xc3"), int(n)).tolist()) for n in rng.integers(1, 9, n_words)} | {b"a" * 20 + b"b", b"a" * 20 + b"c"})
+    spelt = [*lm_mixing.spelled(words), b"\n"]
+    texts = [[*rng.integers(0, len(words), int(n)).tolist(), len(words)] for n in rng.integers(0, 90, n_texts)]
+    return spelt, np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+
+
+def test_tokens_have_their_inputs_in_a_row():
+    rng = np.random.default_rng(8)
+    spelt, _, _ = some_texts(rng, 3000)
+    code = lm_mixing.ByteCode(np.bincount(np.frombuffer(b"".join(spelt), np.uint8), minlength=256))
+    tables = [rng.normal(size=(1 << bits, 2)).astype(np.float16) for bits in lm_mixing.TABLE_BITS]
+    many, logits, gate, where = lm_mixing._bit_inputs(spelt, code, tables)
+    edges = np.cumsum([0, *map(len, spelt)])
+    first, found, found_gate = lm_mixing._token_inputs(np.frombuffer(b"".join(spelt), np.uint8), edges, code, tables, piece=500)
+    assert (np.diff(first) == many).all() and (found == logits[where]).all() and (found_gate == gate[where]).all()
+
+
+def test_order_by_beginnings_and_packets():
+    words = [b"b", b"a" * 20 + b"b", b"ab", b"a", b"\xc3\xa9", b"a" * 20 + b"c", b"aa", b"a" * 15]
+    text, size = lm_mixing._spelled_packet(b" ".join(words))
+    assert text.tobytes() == b"".join(lm_mixing.spelled(words)) and size.tolist() == [len(w) + 1 for w in words]
+    order = lm_mixing._alphabetic(text, np.cumsum([0, *size]))
+    assert sorted(order.tolist()) == list(range(len(words)))
+    beginnings = [lm_mixing.spelled(words)[i][:16] for i in order]
+    assert beginnings == sorted(beginnings)
+    assert len(lm_mixing._alphabetic(np.zeros(0, np.uint8), np.zeros(1, np.int64))) == 0
+
+
+def test_online_coding_is_that_of_a_plain_loop():
+    rng = np.random.default_rng(9)
+    spelt, token, first = some_texts(rng)
+    many = rng.integers(1, 30, len(spelt))
+    bit_first = np.cumsum([0, *many])
+    logits = rng.normal(size=(bit_first[-1], lm_mixing.INPUTS)).astype(np.float32)
+    gate = rng.integers(0, lm_mixing.GATES, bit_first[-1]).astype(np.uint8)
+    weights = rng.normal(0.3, 0.1, (lm_mixing.GATES, lm_mixing.INPUTS)).astype(np.float32)
+    expected, inputs = rng.random(len(token)) < 0.5, rng.normal(size=(len(token), 3)).astype(np.float32)
+    hit = expected & (rng.random(len(token)) < 0.5)
+    found = lm_mixing._coded_online(token, first, bit_first, logits, gate, weights, (expected, hit, inputs))
+    for i, (lo, hi) in enumerate(zip(first[:-1], first[1:])):
+        cost, own, drift, match = 0.0, weights.astype(float), np.zeros(weights.shape), np.array(lm_mixing.MATCH_WEIGHTS)
+        for step in range(lo, hi, lm_mixing.STEP_TOKENS):
+            grad, moved = np.zeros(weights.shape), np.zeros(3)
+            for t in range(step, min(step + lm_mixing.STEP_TOKENS, hi)):
+                if expected[t]:
+                    p = 1 / (1 + math.exp(-min(max(match @ inputs[t], -11), 11)))
+                    cost -= math.log(p if hit[t] else 1 - p)
+                    moved += (hit[t] - p) * inputs[t] / (1, 16, 1)
+                for b in range(bit_first[token[t]], bit_first[token[t] + 1]) if not hit[t] else ():
+                    odds = math.exp(min(max(own[gate[b]] @ logits[b], -11), 11))
+                    cost += math.log(1 + odds)
+                    grad[gate[b]] -= odds / (1 + odds) * logits[b]
+            match += 0.05 * moved
+            drift += grad**2
+            own += lm_mixing.RATE * grad / np.sqrt(drift + 25)
+        assert found[i] == pytest.approx(cost, rel=1e-5)
+
+
+def test_pulls_of_bits_in_a_row_are_added_up_first(monkeypatch):
+    n, bits, summed, plain = 4000, 40, [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a, **b: summed.append(len(x)) or plain(x, *a, **b))
+    logits, gate = np.full((bits, lm_mixing.INPUTS), -3.0, np.float32), np.repeat(np.arange(4, dtype=np.uint8), bits // 4)
+    weights = np.full((lm_mixing.GATES, lm_mixing.INPUTS), 0.35, np.float32)
+    nothing = np.zeros(n, bool), np.zeros(n, bool), np.zeros((n, 3), np.float32)
+    lm_mixing._coded_online(np.zeros(n, int), np.array([0, n]), np.array([0, bits]), logits, gate, weights, nothing)
+    assert sum(summed) <= n * (1 + 4 * lm_mixing.INPUTS)  # before: an entry for each bit and input

@@ -41,3 +41,11 @@ def test_shingle_sets_count_distinct_runs():
     sets = shingle_sets(words_of(pa.array(texts), True))
     assert np.diff(sets.first).tolist() == [2, 5, 1, 1, 0, 0]
     assert sets.hash[sets.first[2]] == sets.hash[sets.first[3]]
+
+
+def test_chosen_words_with_spaces_between():
+    found = words_of(pa.array(["ab  c", None, "é d"]), lower=False)
+    text, edges = found.spaced(np.array([3, 0, 2]))
+    assert text.tobytes() == "d ab é ".encode() and edges.tolist() == [0, 2, 5, 8]
+    text, edges = found.spaced(np.zeros(0, np.int64))
+    assert len(text) == 0 and edges.tolist() == [0]
